@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import components, count_sketch, leakage, packing, rlz_spans, seen_filter, term_bitmaps
+from . import components, count_sketch, leakage, packing, residue, rlz_spans, seen_filter, term_bitmaps
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -60,7 +60,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared_share, p2_found, p2_terms, p4_found, p4_error, p5_found, p6_found, p6_top, p7_pack, p7_summary, p8_found)}
+def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(_t(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_kinds(spark, d).select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared_share, p2_found, p2_terms, p4_found, p4_error, p5_found, p6_found, p6_top, p7_pack, p7_summary, p8_found, p9_found, p9_kinds)}
 
 _SPANS = """
 WITH w AS (

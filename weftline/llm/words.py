@@ -7,7 +7,7 @@ import re
 import unicodedata
 
 _TAG = re.compile(r"<[^<>]{1,300}>")
-_HIDDEN = re.compile("[\x00­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
+_HIDDEN = re.compile(r"[\x00\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
 _ENTITY = re.compile(r"&#?\w{2,8};")
 _MARKED = re.compile(r"\[/?[a-z]{1,8}(?:=[^\]]{0,200})?\]|\]\([^)\s]{1,300}\)")
 _WORD = re.compile(r"[^\W_]+")
