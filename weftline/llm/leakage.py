@@ -26,6 +26,8 @@ PER_EDIT = 6
 MAX_WORDS = 2 * MIN_WORDS + PER_EDIT + 2
 #: Words that the kept runs of any leak cover at least: 17 kept words in 4 runs, three of them under RUN.
 LEAST_COVER = 8
+#: Of the first or the last MIN_WORDS words of any leak up to 2 * MIN_WORDS long at most 5 are lost, so this many occur near by.
+LEAST_PRESENT = MIN_WORDS - 5
 #: Characters of item text held in one index; larger sets are handled in blocks.
 BLOCK_CHARS = 20_000_000
 
@@ -67,8 +69,19 @@ def run_codes(w: np.ndarray) -> np.ndarray:
 def leaks(doc: np.ndarray, item: np.ndarray, d_lo: int, d_hi: int, i_lo: int, i_hi: int) -> bool:
     """Does doc[d_lo:d_hi] repeat a stretch of item that starts in [i_lo, i_hi)? Exact, all starts at once."""
     d = doc[max(0, d_lo) : d_hi]
-    starts = np.arange(max(0, i_lo), min(i_hi, len(item) - MIN_WORDS + 1))
-    if not len(starts) or len(d) < MIN_WORDS * 2 // 3:
+    i_lo, i_hi = max(0, i_lo), min(i_hi, len(item) - MIN_WORDS + 1)
+    if i_lo >= i_hi or len(d) < MIN_WORDS * 2 // 3:
+        return False
+    # windows of the item with enough words that occur in this part of the document at all
+    there = np.zeros(max(int(item.max()), int(d.max())) + 1, bool)
+    there[d] = True
+    there[0] = False
+    seen = np.concatenate([[0], np.cumsum(there[item[i_lo : i_hi + MAX_WORDS]])])
+    good = np.flatnonzero(seen[MIN_WORDS:] - seen[:-MIN_WORDS] >= LEAST_PRESENT) + i_lo
+    if not len(good):
+        return False
+    starts = np.arange(max(i_lo, int(good[0]) - MAX_WORDS + MIN_WORDS), min(i_hi, int(good[-1]) + 1))
+    if not len(starts):
         return False
     big = 10_000
     cols = np.arange(len(d) + 1)
@@ -100,76 +113,52 @@ def leaks(doc: np.ndarray, item: np.ndarray, d_lo: int, d_hi: int, i_lo: int, i_
 def _search(index: ItemIndex, doc_ids: list, texts: list) -> tuple[list, list]:
     """(doc, item) pairs of a batch of documents."""
     known = index.vocab.get
-    ids, owner, doc_words = [], [], []
-    for k, t in enumerate(texts):
-        w = np.fromiter((known(x, 0) for x in words(t)), np.int64)
-        doc_words.append(w)
-    # all runs of the batch in one look-up
-    hit_doc, hit_pos, hit_code = [], [], []
-    for k, w in enumerate(doc_words):
-        c = run_codes(w)
-        if not len(c):
-            continue
-        live = np.flatnonzero((w[: len(c)] > 0) & (w[3 : len(c) + 3] > 0))
-        at = np.searchsorted(index.code, c[live])
-        at = np.minimum(at, len(index.code) - 1)
-        good = index.code[at] == c[live]
-        hit_doc.append(np.full(good.sum(), k, np.int64))
-        hit_pos.append(live[good])
-        hit_code.append(at[good])
-    if not hit_doc:
+    lists = [words(t) for t in texts]
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    off = np.concatenate([[0], np.cumsum(size)])
+    w = np.fromiter((known(x, 0) for ws in lists for x in ws), np.int64, int(off[-1]))
+    if len(w) < RUN:
+        return [], []
+    doc_words = [w[a:b] for a, b in zip(off[:-1], off[1:])]
+    # all runs of known words of the batch in one look-up
+    live = np.flatnonzero((w[:-3] > 0) & (w[1:-2] > 0) & (w[2:-1] > 0) & (w[3:] > 0))
+    d = np.searchsorted(off, live, "right") - 1
+    inside = live + RUN <= off[d + 1]
+    live, d = live[inside], d[inside]
+    code = run_codes(w)[live]
+    c = np.minimum(np.searchsorted(index.code, code), len(index.code) - 1)
+    good = index.code[c] == code
+    d, p, c = d[good], live[good] - off[d[good]], c[good]
+    if not len(d):
         return [], []
-    d, p, c = np.concatenate(hit_doc), np.concatenate(hit_pos), np.concatenate(hit_code)
     n = index.first[c + 1] - index.first[c]
     src = np.repeat(index.first[c], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     d, p, item, q = np.repeat(d, n), np.repeat(p, n), index.item[src].astype(np.int64), index.at[src].astype(np.int64)
-    # clusters: runs of one (document, item) whose diagonals and places are near each other
+    # bands: runs of one (document, item) on near diagonals and near each other
     reach = MAX_WORDS + MAX_WORDS // PER_EDIT
-    o = np.lexsort((p, item, d))
-    d, p, item, q = d[o], p[o], item[o], q[o]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (p[1:] - p[:-1] > reach)
-    group = np.cumsum(new) - 1
-    # item words covered in a cluster
-    o = np.lexsort((q, group))
-    gq, qq = group[o], q[o]
-    step = np.full(len(gq), RUN)
-    same = gq[1:] == gq[:-1]
-    step[:-1] = np.where(same, np.minimum(qq[1:] - qq[:-1], RUN), RUN)
-    cover = np.bincount(gq, weights=step)
-    first = np.flatnonzero(new)
-    end = np.append(first[1:], len(d))
-    out_d, out_i = [], []
+    drift = MAX_WORDS // PER_EDIT + 1
+    diag = p - q
+    o = np.lexsort((diag, item, d))
+    d, p, item, q, diag = d[o], p[o], item[o], q[o], diag[o]
+    band = np.cumsum(np.r_[True, (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (np.diff(diag) > drift)])
+    o = np.lexsort((p, band))
+    d, p, item, q, band = d[o], p[o], item[o], q[o], band[o]
+    band = np.cumsum(np.r_[True, (band[1:] != band[:-1]) | (np.diff(p) > reach)]) - 1
+    # item words covered in a band
+    o = np.lexsort((q, band))
+    bq, qq = band[o], q[o]
+    step = np.full(len(bq), RUN)
+    step[:-1] = np.where(bq[1:] == bq[:-1], np.minimum(np.diff(qq), RUN), RUN)
+    cover = np.bincount(bq, weights=step)
+    first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+    p_lo, p_hi = p[first], np.maximum.reduceat(p, first) + RUN
+    q_lo, q_hi = np.minimum.reduceat(q, first), np.maximum.reduceat(q, first) + RUN
     done = set()
     for g in np.flatnonzero(cover >= LEAST_COVER):
         k, i = int(d[first[g]]), int(item[first[g]])
-        if (k, i) in done:
-            continue
-        pp, qs = p[first[g] : end[g]], q[first[g] : end[g]]
-        # each diagonal band on its own keeps the alignments small
-        for lo, hi in bands(pp, qs, reach):
-            if leaks(doc_words[k], index.words[i], lo[0] - reach, hi[0] + reach, lo[1] - MAX_WORDS, hi[1] + 1):
-                done.add((k, i))
-                out_d.append(doc_ids[k])
-                out_i.append(int(index.ids[i]))
-                break
-    return out_d, out_i
-
-
-def bands(p: np.ndarray, q: np.ndarray, reach: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """Groups of runs on near diagonals that cover enough words: ((p, q) low, (p, q) high)."""
-    drift = MAX_WORDS // PER_EDIT + 1
-    diag = p - q
-    o = np.argsort(diag, kind="stable")
-    cut = np.flatnonzero(np.diff(diag[o]) > drift) + 1
-    out = []
-    for part in np.split(o, cut):
-        part = part[np.argsort(p[part], kind="stable")]
-        for sub in np.split(part, np.flatnonzero(np.diff(p[part]) > reach) + 1):
-            u = np.unique(q[sub])
-            if np.minimum(np.diff(u), RUN).sum() + RUN >= LEAST_COVER:
-                out.append(((int(p[sub].min()), int(u[0])), (int(p[sub].max()) + RUN, int(u[-1]) + RUN)))
-    return out
+        if (k, i) not in done and leaks(doc_words[k], index.words[i], int(p_lo[g]) - reach, int(p_hi[g]) + reach, int(q_lo[g]) - MAX_WORDS, int(q_hi[g]) + 1):
+            done.add((k, i))
+    return [doc_ids[k] for k, _ in done], [int(index.ids[i]) for _, i in done]
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text") -> DataFrame:
