@@ -15,33 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..kernels.bits import mix, unmix
+
 LEVELS = 8
 BLOCK = 4096
-_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # fixed values: the 64-bit finaliser of MurmurHash3
-_I1, _I2 = np.uint64(pow(0xFF51AFD7ED558CCD, -1, 1 << 64)), np.uint64(pow(0xC4CEB9FE1A85EC53, -1, 1 << 64))
-_S = np.uint64(33)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64 bits."""
-    h = x.astype(np.uint64, copy=True)
-    h ^= h >> _S
-    h *= _M1
-    h ^= h >> _S
-    h *= _M2
-    h ^= h >> _S
-    return h
-
-
-def unmix(h: np.ndarray) -> np.ndarray:
-    """Inverse of ``mix``."""
-    x = h.astype(np.uint64, copy=True)
-    x ^= x >> _S
-    x *= _I2
-    x ^= x >> _S
-    x *= _I1
-    x ^= x >> _S
-    return x
 
 
 class Hierarchy:

@@ -26,66 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..kernels.bits import CODE, column_text, letter_runs, mix, packed, sliding_min
 from ..scratch import Scratch
-from .count_sketch import mix
 
 #: Words of 32 letters in a piece; pieces are at most 192 letters.
 WORDS = 6
-CODE = np.full(256, 4, np.uint8)
-for _i, _c in enumerate("ACGT"):
-    CODE[ord(_c)] = CODE[ord(_c.lower())] = _i
 HOT_BIT = np.uint64(1 << 63)
 
 
-def packed(code: np.ndarray, k: int) -> np.ndarray:
-    """k-letter words starting at every position, k <= 32; the tail is padded with A."""
-    out = np.zeros(len(code) + 64, np.uint64)
-    out[: len(code)] = code
-    have, n = {1: out}, 1
-    while n * 2 <= k:
-        nxt = out << np.uint64(2 * n)
-        nxt[:-n] |= out[n:]
-        out, n = nxt, n * 2
-        have[n] = out
-    acc, m = have[n], n
-    while m < k:
-        step = max(s for s in have if s <= k - m)
-        nxt = acc << np.uint64(2 * step)
-        nxt[:-m] |= have[step][m:]
-        acc, m = nxt, m + step
-    return acc
-
-
-def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of h[i:i+w] for every full window."""
-    n = 1
-    while n * 2 <= w:
-        h = np.minimum(h[:-n], h[n:])
-        n *= 2
-    return np.minimum(h[: len(h) - (w - n)], h[w - n :]) if w > n else h
-
-
-def column_text(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; nulls are empty."""
-    col = col.fill_null("").cast(pa.large_string())
-    off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
-    data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
-    return data[off[0] : off[-1]], off - off[0]
-
-
 def pieces(rid: np.ndarray, data: np.ndarray, off: np.ndarray, min_len: int, k: int, hot: np.ndarray) -> dict[str, np.ndarray]:
     """Runs of window starts with one minimizer: mz, w0.., n (letters), rid, pos."""
     code = CODE[data]
-    bad = np.flatnonzero(code == 4)
-    # runs of valid letters within one record
-    cuts = np.unique(np.concatenate([off, bad, bad + 1]))
-    lo, hi = cuts[:-1], cuts[1:]
-    keep = hi - lo >= min_len
-    lo, hi = lo[keep], hi[keep]
+    lo, hi, rec = letter_runs(code, off, min_len)
     none = {"mz": np.zeros(0, np.int64), "n": np.zeros(0, np.int16), "rid": np.zeros(0, np.int64), "pos": np.zeros(0, np.int32)} | {f"w{j}": np.zeros(0, np.int64) for j in range(WORDS)}
     if not len(lo):
         return none
-    rec = np.searchsorted(off, lo, "right") - 1
     size = hi - lo
     at = np.concatenate([[0], np.cumsum(size)])
     src = np.arange(at[-1]) + np.repeat(lo - at[:-1], size)

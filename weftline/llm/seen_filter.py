@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..kernels.bits import mix
 from ..scratch import Scratch
-from .count_sketch import mix
 
 FINGERPRINT_BITS = 32
 #: Keys that one shard should see in all; with 5 bytes a key this bounds a task's filters.
