@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import keyed, scalar
+from . import keyed, kmers, scalar
 
-MODULES = (keyed, scalar)
+MODULES = (keyed, scalar, kmers)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
-FLAGSHIP = "p3_found"
+FLAGSHIP = "agg01_kmer_count"
