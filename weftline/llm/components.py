@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import contract, relabel
 from ..operators.skew import hot_keys, join_unique
 from ..scratch import Scratch
 
@@ -68,39 +69,3 @@ def link_groups(pairs: DataFrame, a: str, b: str, max_frontiers: int = MAX_FRONT
     head = labels.where(F.col("rid") == low).select("group_id").first()
     giant = seen.select(F.lit(head[0] if head else low).cast("long").alias("group_id"), F.col("u").alias("rid"))
     return giant.unionByName(labels.where(F.col("rid") != low))
-
-
-def relabel(edges: DataFrame, to: DataFrame, hubs: list) -> DataFrame:
-    """Edges with both ends replaced by their label (u, to), loops dropped, once each."""
-    e = edges
-    for end in ("u", "v"):
-        t = to.select(F.col("u").alias(end), "to")
-        e = join_unique(e, t, end, hubs, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-    return e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
-
-
-def contract(edges: DataFrame, scratch: Scratch, n_edges: int) -> DataFrame:
-    """Minimum propagation by contraction: group_id, rid of every vertex of ``edges`` (u < v)."""
-    work, work_path = scratch.write(edges, "work")
-    parents: list[DataFrame] = []
-    while not work.isEmpty():
-        sym = work.unionByName(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("to"))
-        # hang each vertex under the label of its label: two steps of propagation in a round
-        hubs = hot_keys(least, "to", n_edges)
-        up = least.select(F.col("u").alias("to"), F.col("to").alias("top"))
-        step = join_unique(least, up, "to", hubs, "left").select("u", F.coalesce("top", "to").alias("to"))
-        step = scratch.table(step, "step")
-        parents.append(step)
-        nxt, nxt_path = scratch.write(relabel(work, step, hot_keys(sym, "u", n_edges)), "work")
-        scratch.drop(work_path)
-        work, work_path = nxt, nxt_path
-    if not parents:
-        return scratch.spark.createDataFrame([], "group_id long, rid long")
-    # vertices of round i carry on under their label in round i + 1
-    out = parents[-1]
-    for p in reversed(parents[:-1]):
-        nxt = out.select(F.col("u").alias("to"), F.col("to").alias("top"))
-        out = p.join(nxt, "to", "left").select("u", F.coalesce("top", "to").alias("to"))
-        out = scratch.table(out, "labels")
-    return out.select(F.col("to").alias("group_id"), F.col("u").alias("rid"))

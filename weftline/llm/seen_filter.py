@@ -23,7 +23,7 @@ from ..scratch import Scratch
 
 FINGERPRINT_BITS = 32
 #: Keys that one shard should see in all; with 5 bytes a key this bounds a task's filters.
-SHARD_KEYS = 4_000_000
+SHARD_KEYS = 500_000
 
 
 class XorFilter:
