@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph, keyed, kmers, relational, scalar
+from . import advanced, graph, keyed, kmers, relational, scalar
 
-MODULES = (keyed, scalar, kmers, relational, graph)
+MODULES = (keyed, scalar, kmers, relational, graph, advanced)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
 FLAGSHIP = "agg01_kmer_count"
