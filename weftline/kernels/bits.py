@@ -92,3 +92,18 @@ def letter_runs(code: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarr
     keep = (hi - lo >= least) & (code[np.minimum(lo, max(len(code) - 1, 0))] < 4) if len(code) else np.zeros(len(lo), bool)
     lo, hi = lo[keep], hi[keep]
     return lo, hi, np.searchsorted(off, lo, "right") - 1
+
+
+#: Letters that a kernel works on at a time; with about ten 8-byte arrays a letter this bounds a worker's memory near 100 MB.
+SLICE_LETTERS = 1 << 20
+
+
+def text_slices(ids: pa.Array, texts: pa.Array, letters: int = SLICE_LETTERS):
+    """(ids, bytes, offsets) of consecutive rows with about ``letters`` letters together; a longer text comes alone."""
+    data, off = column_text(texts)
+    rid = ids.to_numpy(zero_copy_only=False)
+    lo, n = 0, len(off) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + letters, "right")) - 1)
+        yield rid[lo:hi], data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+        lo = hi
