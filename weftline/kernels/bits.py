@@ -98,10 +98,10 @@ def letter_runs(code: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarr
 SLICE_LETTERS = 1 << 20
 
 
-def text_slices(ids: pa.Array, texts: pa.Array, letters: int = SLICE_LETTERS):
+def text_slices(ids: pa.Array | None, texts: pa.Array, letters: int = SLICE_LETTERS):
     """(ids, bytes, offsets) of consecutive rows with about ``letters`` letters together; a longer text comes alone."""
     data, off = column_text(texts)
-    rid = ids.to_numpy(zero_copy_only=False)
+    rid = np.zeros(len(texts), np.int64) if ids is None else ids.to_numpy(zero_copy_only=False)
     lo, n = 0, len(off) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + letters, "right")) - 1)

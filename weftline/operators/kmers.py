@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import hash64
-from ..kernels.bits import CODE, column_text, letter_runs, packed, packed_reverse, sliding_min
+from ..kernels.bits import CODE, letter_runs, packed, packed_reverse, sliding_min, text_slices
 
 #: Counts saturate here (12 bits); counts of parental dumps saturate at PARENT_MAX.
 COUNT_MAX, PARENT_MAX = 4095, 1023
@@ -31,8 +31,7 @@ def kmer_counts(reads: DataFrame, k: int, seq: str = "seq", saturate: int = COUN
     """
 
     def run(batches):
-        for b in batches:
-            data, off = column_text(b.column(0))
+        for _, data, off in (x for b in batches for x in text_slices(None, b.column(0))):
             code = CODE[data]
             lo, hi, _ = letter_runs(code, off, k)
             at = _places(lo, hi, k)
@@ -50,8 +49,7 @@ def kmer_positions(reads: DataFrame, k: int, record: str = "rid", seq: str = "se
     """rid, pos, code, rev of every k-mer: canonical code, and whether the reverse complement is the smaller."""
 
     def run(batches):
-        for b in batches:
-            data, off = column_text(b.column(1))
+        for rid, data, off in (x for b in batches for x in text_slices(b.column(0), b.column(1))):
             code = CODE[data]
             lo, hi, rec = letter_runs(code, off, k)
             at = _places(lo, hi, k)
@@ -59,7 +57,6 @@ def kmer_positions(reads: DataFrame, k: int, record: str = "rid", seq: str = "se
                 continue
             owner = np.repeat(rec, hi - lo - k + 1)
             f, r = packed(code, k)[at], packed_reverse(code, k)[at]
-            rid = b.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(rid[owner]), pa.array((at - off[owner]).astype(np.int32)), pa.array(np.minimum(f, r).view(np.int64)), pa.array((r < f).astype(np.int32))], names=["rid", "pos", "code", "rev"])
 
     return reads.select(F.col(record).cast("long"), F.col(seq)).where(f"{record} is not null and length({seq}) >= {k}").mapInArrow(run, "rid long, pos int, code long, rev int")
@@ -98,8 +95,7 @@ def minimizers(reads: DataFrame, k: int, w: int, record: str = "rid", seq: str =
         raise ValueError("k is at most 25 here")
 
     def run(batches):
-        for b in batches:
-            data, off = column_text(b.column(1))
+        for rid, data, off in (x for b in batches for x in text_slices(b.column(0), b.column(1))):
             code = CODE[data]
             lo, hi, rec = letter_runs(code, off, k)
             n = hi - lo - k + 1
@@ -135,7 +131,6 @@ def minimizers(reads: DataFrame, k: int, w: int, record: str = "rid", seq: str =
                 pick[idx] = mark
             pick &= key != top
             owner = np.repeat(rec, n)
-            rid = b.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(rid[owner][pick]), pa.array((at - off[owner])[pick].astype(np.int32)), pa.array(c[pick].view(np.int64)), pa.array(h[pick].view(np.int64)), pa.array((r < f)[pick].astype(np.int32))], names=["rid", "pos", "code", "h", "rev"])
 
     return reads.select(F.col(record).cast("long"), F.col(seq)).where(f"{record} is not null and length({seq}) >= {k}").mapInArrow(run, "rid long, pos int, code long, h long, rev int")
