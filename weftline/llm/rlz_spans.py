@@ -12,7 +12,7 @@ match with a neighbour in the index is a factor; starts inside a factor whose ow
 its end are checked at that boundary and carry the span on; else the next factor begins
 behind it. Factors are at least ``min_len`` long, hence duplicate spans.
 
-Skew: equal pieces of one Arrow batch leave the scan as one row, and blocks keep equal pieces
+Skew: equal pieces of one slice of the input leave the scan as one row, and blocks keep equal pieces
 once, so copies don't pile up; spans of a piece with several holders go back to the holders
 by a join on the piece's key. Minimizers in a large share of the pieces (a bounded list) rank
 last, so that their windows spread over other minimizers; windows with none but such
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..kernels.bits import CODE, column_text, letter_runs, mix, packed, sliding_min
+from ..kernels.bits import CODE, letter_runs, mix, packed, sliding_min, text_slices
 from ..scratch import Scratch
 
 #: Words of 32 letters in a piece; pieces are at most 192 letters.
@@ -198,13 +198,12 @@ PIECE = ", ".join(["mz long", "k1 long", "k2 long", *(f"w{j} long" for j in rang
 
 
 def scan_pieces(reads: DataFrame, min_len: int, k: int, hot: list[int], merge: bool) -> DataFrame:
-    """Pieces of every record. ``merge``: equal pieces of a batch become one row (owner and place as ranges)."""
+    """Pieces of every record. ``merge``: equal pieces of a slice become one row (owner and place as ranges)."""
     hot_arr = np.sort(np.array(hot, np.int64).view(np.uint64))
 
     def run(batches):
-        for b in batches:
-            data, off = column_text(b.column(1))
-            p = pieces(b.column(0).to_numpy(zero_copy_only=False), data, off, min_len, k, hot_arr)
+        for rid, data, off in (x for b in batches for x in text_slices(b.column(0), b.column(1))):
+            p = pieces(rid, data, off, min_len, k, hot_arr)
             if not len(p["n"]):
                 continue
             k1, k2 = piece_key(p)
@@ -286,9 +285,8 @@ def hot_windows(src: DataFrame, min_len: int, k: int, hot: list[int]) -> DataFra
     hot_arr = np.sort(np.array(hot, np.int64).view(np.uint64))
 
     def run(batches):
-        for b in batches:
-            data, off = column_text(b.column(1))
-            p = pieces(b.column(0).to_numpy(zero_copy_only=False), data, off, min_len, k, hot_arr)
+        for rid, data, off in (x for b in batches for x in text_slices(b.column(0), b.column(1))):
+            p = pieces(rid, data, off, min_len, k, hot_arr)
             sel = np.flatnonzero(p["mz"] < 0)
             if not len(sel):
                 continue
