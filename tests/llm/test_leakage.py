@@ -49,18 +49,51 @@ def edited(rnd, ws, rate, vocab):
 def test_leaks_equal_brute_force():
     rnd = random.Random(11)
     vocab = [f"w{i}" for i in range(60)]
-    seen = {True: 0, False: 0}
+    seen, got_sim = {True: 0, False: 0}, 0
     for k in range(250):
         item = [rnd.choice(vocab) for _ in range(rnd.randint(20, 70))]
         a = rnd.randint(0, len(item) - 1)
         quote = edited(rnd, item[a : a + rnd.randint(12, 45)], rnd.choice([0, 0.1, 0.17, 0.25]), vocab)
         doc = [rnd.choice(vocab) for _ in range(rnd.randint(0, 40))] + quote + [rnd.choice(vocab) for _ in range(rnd.randint(0, 40))]
-        ix = leakage.ItemIndex([(7, " ".join(item))])
-        d, i = leakage._search(ix, [1], [" ".join(doc)])
+        ix = leakage.SimIndex([(7, " ".join(item))]) if k % 5 == 0 else leakage.ItemIndex([(7, " ".join(item))])
         want = brute(doc, item)
-        assert (d, i) == (([1], [7]) if want else ([], [])), (k, want)
+        assert leakage._search(ix, [1], [" ".join(doc)], True) == (([1], [7]) if want else ([], [])), (k, want)
+        if k % 5 == 0:
+            # all words are known and drawn from 60 here, the hardest noise for fingerprints
+            found = leakage._search(ix, [1], [" ".join(doc)])
+            assert want or found == ([], [])
+            got_sim += found == ([1], [7])
         seen[want] += 1
-    assert min(seen.values()) > 30
+    assert min(seen.values()) > 30 and got_sim > 10
+
+
+def test_blocks_find_every_fingerprint_within_the_radius():
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 400, 60))) for i in range(8)]
+    ix = leakage.SimIndex(texts)
+    for _ in range(300):
+        k = int(rng.integers(0, len(ix.prints)))
+        flips = rng.choice(64, int(rng.integers(0, leakage.RADIUS + 1)), replace=False)
+        f = ix.prints[k] ^ np.bitwise_or.reduce(np.append(np.uint64(1) << flips.astype(np.uint64), np.uint64(0)))
+        hit = False
+        for (shift, bits), (first, entry) in zip(leakage.BIT_BLOCKS, ix.tables):
+            key = int((f >> np.uint64(shift)) & np.uint64((1 << bits) - 1))
+            hit |= k in entry[first[key] : first[key + 1]].tolist()
+        assert hit
+
+
+def test_recall_on_planted_quotes(spark):
+    rnd = random.Random(12)
+    vocab = [f"word{i}" for i in range(3000)]
+    items = [[rnd.choice(vocab) for _ in range(80)] for _ in range(20)]
+    docs = []
+    for k in range(200):
+        it = items[k % 20]
+        a = rnd.randint(0, 50)
+        quote = edited(rnd, it[a : a + rnd.randint(22, 30)], 0.09, vocab)
+        docs.append((k, " ".join([rnd.choice(vocab) for _ in range(50)] + quote + [f"other{rnd.random()}" for _ in range(30)]), 0, ""))
+    r = leakage.recall(spark.createDataFrame(docs, D), spark.createDataFrame([(i, " ".join(w), 0) for i, w in enumerate(items)], I)).first()
+    assert r["n_exhaustive"] > 100 and r["recall"] >= 0.95 and r["n_found"] <= r["n_exhaustive"]
 
 
 def test_forms_do_not_count(spark):

@@ -2,16 +2,24 @@
 
 A document leaks an item if it repeats a stretch of at least 20 consecutive words of the
 item, beginning and ending with a kept word, with at most one word in six changed, dropped
-or added. SimHash windows can't promise that (see README, with figures), so candidates come
-from an index that can: with e edits in L words, some run of (L - e) / (e + 1), rounded up,
-kept words survives, never under 4 within these limits, so every leak shares a 4-word run
-with its item. The index of the item set's runs (a fixed query set, handled in blocks of
-bounded size) travels to the documents; runs found near each other must cover at least 8
-words of the item, which every leak does; what is left is verified by exact edit distance.
+or added.
+
+Every 20-word window of the items and of the documents gets a 64-bit SimHash; words that no
+item has weigh nothing. The item fingerprints (a fixed query set, handled in blocks of bounded
+size) are indexed by three blocks of bits: two fingerprints within Hamming radius 8 differ by
+at most 2 bits in one of the blocks, so a table per block that holds every item fingerprint
+under all its variants of up to 2 bits finds all of them with one look-up a block. Window
+pairs within the radius are verified by the weighted similarity of their words, and what is
+left by exact edit distance over all starts at once, which decides.
+
+Of a leak, one window with few edits is enough. ``exhaustive`` candidates, which share a run
+of four words (every leak has one), exist to measure what the radius loses.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +37,13 @@ LEAST_COVER = 8
 #: Of the first or the last MIN_WORDS words of any leak up to 2 * MIN_WORDS long at most 5 are lost, so this many occur near by.
 LEAST_PRESENT = MIN_WORDS - 5
 #: Characters of item text held in one index; larger sets are handled in blocks.
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 500_000
+#: Hamming radius that the bit blocks guarantee: 2 bits in one of three blocks.
+RADIUS = 8
+BIT_BLOCKS = ((0, 22), (22, 21), (43, 21))
+#: Words of a document window that must occur in the items at all, and the weighted similarity that a window pair needs.
+LEAST_KNOWN = 14
+SIMILARITY = 0.5
 
 
 class ItemIndex:
@@ -55,6 +69,52 @@ class ItemIndex:
         self.at = np.concatenate(at)[order] if at else np.zeros(0, np.int32)
 
 
+def word_vectors(vocab: dict[str, int]) -> np.ndarray:
+    """64 signs a word, from its hash; row 0 (unknown words) is zero."""
+    out = np.zeros((len(vocab) + 1, 64), np.int8)
+    for word, i in vocab.items():
+        h = np.frombuffer(hashlib.blake2b(word.encode(), digest_size=8).digest(), np.uint8)
+        out[i] = 2 * np.unpackbits(h).astype(np.int8) - 1
+    return out
+
+
+def fingerprints(w: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """SimHash of every window of MIN_WORDS words."""
+    if len(w) < MIN_WORDS:
+        return np.zeros(0, np.uint64)
+    s = np.zeros((len(w) + 1, 64), np.int32)
+    np.cumsum(vectors[w], axis=0, dtype=np.int32, out=s[1:])
+    return np.packbits(s[MIN_WORDS:] > s[:-MIN_WORDS], axis=1).view(np.uint64).ravel()
+
+
+class SimIndex(ItemIndex):
+    """Fingerprints of all item windows under their variants in each block of bits."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        super().__init__(items)
+        self.vectors = word_vectors(self.vocab)
+        self.flat = np.concatenate([*self.words, np.zeros(0, np.int64)])
+        at = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
+        n = np.maximum(np.diff(at) - MIN_WORDS + 1, 0)
+        self.win_item = np.repeat(np.arange(len(self.words)), n)
+        self.win_pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.win_flat = self.win_pos + at[self.win_item]
+        self.prints = np.concatenate([*(fingerprints(w, self.vectors) for w in self.words), np.zeros(0, np.uint64)])
+        # rarer words weigh more
+        df = np.bincount(np.concatenate([*(np.unique(w) for w in self.words), np.zeros(0, np.int64)]), minlength=len(self.vocab) + 1)
+        self.weight = np.log1p(len(self.words) / np.maximum(df, 1))
+        self.tables = []
+        for shift, bits in BIT_BLOCKS:
+            one = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+            variants = np.unique(np.concatenate([[np.uint64(0)], (one[:, None] | one[None, :]).ravel()]))
+            key = ((self.prints >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
+            keys = (key[None, :] ^ variants.astype(np.uint32)[:, None]).ravel()
+            order = np.argsort(keys, kind="stable")
+            first = np.zeros((1 << bits) + 1, np.int32)
+            np.cumsum(np.bincount(keys, minlength=1 << bits), out=first[1:])
+            self.tables.append((first, (order % max(len(key), 1)).astype(np.int32)))
+
+
 def run_codes(w: np.ndarray) -> np.ndarray:
     """64-bit codes of all 4-word runs (a code collision costs a verification, not a result)."""
     if len(w) < RUN:
@@ -110,17 +170,53 @@ def leaks(doc: np.ndarray, item: np.ndarray, d_lo: int, d_hi: int, i_lo: int, i_
     return False
 
 
-def _search(index: ItemIndex, doc_ids: list, texts: list) -> tuple[list, list]:
-    """(doc, item) pairs of a batch of documents."""
+def _read(index: ItemIndex, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of a batch of documents one after the other, and their offsets."""
     known = index.vocab.get
     lists = [words(t) for t in texts]
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    off = np.concatenate([[0], np.cumsum(size)])
-    w = np.fromiter((known(x, 0) for ws in lists for x in ws), np.int64, int(off[-1]))
-    if len(w) < RUN:
-        return [], []
-    doc_words = [w[a:b] for a, b in zip(off[:-1], off[1:])]
-    # all runs of known words of the batch in one look-up
+    off = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+    return np.fromiter((known(x, 0) for ws in lists for x in ws), np.int64, int(off[-1])), off
+
+
+def near_windows(index: SimIndex, w: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, place, item, place in it) of window pairs within the radius and alike by weighted words."""
+    none = (np.zeros(0, np.int64),) * 4
+    if len(w) < MIN_WORDS or not len(index.prints):
+        return none
+    f = fingerprints(w, index.vectors)
+    known = np.concatenate([[0], np.cumsum(w > 0)])
+    at = np.flatnonzero(known[MIN_WORDS:] - known[:-MIN_WORDS] >= LEAST_KNOWN)
+    d = np.searchsorted(off, at, "right") - 1
+    inside = at + MIN_WORDS <= off[d + 1]
+    at, d = at[inside], d[inside]
+    f = f[at]
+    left, right = [], []
+    for (shift, bits), (first, entry) in zip(BIT_BLOCKS, index.tables):
+        key = ((f >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        n = (first[key + 1] - first[key]).astype(np.int64)
+        a = np.repeat(np.arange(len(f)), n)
+        b = entry[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[key].astype(np.int64), n)]
+        ok = np.bitwise_count(f[a] ^ index.prints[b]) <= RADIUS
+        left.append(a[ok])
+        right.append(b[ok].astype(np.int64))
+    pair = np.unique(np.concatenate(left) * len(index.prints) + np.concatenate(right))
+    a, b = pair // len(index.prints), pair % len(index.prints)
+    keep = np.zeros(len(a), bool)
+    span = np.arange(MIN_WORDS)
+    for lo in range(0, len(a), 16384):
+        x, y = w[at[a[lo : lo + 16384], None] + span], index.flat[index.win_flat[b[lo : lo + 16384], None] + span]
+        there = (x[:, None, :] == y[:, :, None]).any(axis=2)
+        weight = index.weight[y]
+        keep[lo : lo + 16384] = (weight * there).sum(axis=1) >= SIMILARITY * weight.sum(axis=1)
+    a, b = a[keep], b[keep]
+    return d[a], at[a] - off[d[a]], index.win_item[b], index.win_pos[b]
+
+
+def shared_runs(index: ItemIndex, w: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, place, item, place in it) of all shared 4-word runs: exhaustive candidates."""
+    none = (np.zeros(0, np.int64),) * 4
+    if len(w) < RUN or not len(index.code):
+        return none
     live = np.flatnonzero((w[:-3] > 0) & (w[1:-2] > 0) & (w[2:-1] > 0) & (w[3:] > 0))
     d = np.searchsorted(off, live, "right") - 1
     inside = live + RUN <= off[d + 1]
@@ -129,12 +225,20 @@ def _search(index: ItemIndex, doc_ids: list, texts: list) -> tuple[list, list]:
     c = np.minimum(np.searchsorted(index.code, code), len(index.code) - 1)
     good = index.code[c] == code
     d, p, c = d[good], live[good] - off[d[good]], c[good]
-    if not len(d):
-        return [], []
     n = index.first[c + 1] - index.first[c]
     src = np.repeat(index.first[c], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    d, p, item, q = np.repeat(d, n), np.repeat(p, n), index.item[src].astype(np.int64), index.at[src].astype(np.int64)
-    # bands: runs of one (document, item) on near diagonals and near each other
+    return np.repeat(d, n), np.repeat(p, n), index.item[src].astype(np.int64), index.at[src].astype(np.int64)
+
+
+def _search(index: ItemIndex, doc_ids: list, texts: list, exhaustive: bool = False) -> tuple[list, list]:
+    """(doc, item) pairs of a batch of documents."""
+    w, off = _read(index, texts)
+    d, p, item, q = shared_runs(index, w, off) if exhaustive else near_windows(index, w, off)
+    if not len(d):
+        return [], []
+    doc_words = [w[a:b] for a, b in zip(off[:-1], off[1:])]
+    size = RUN if exhaustive else MIN_WORDS
+    # bands: candidates of one (document, item) on near diagonals and near each other
     reach = MAX_WORDS + MAX_WORDS // PER_EDIT
     drift = MAX_WORDS // PER_EDIT + 1
     diag = p - q
@@ -147,12 +251,12 @@ def _search(index: ItemIndex, doc_ids: list, texts: list) -> tuple[list, list]:
     # item words covered in a band
     o = np.lexsort((q, band))
     bq, qq = band[o], q[o]
-    step = np.full(len(bq), RUN)
-    step[:-1] = np.where(bq[1:] == bq[:-1], np.minimum(np.diff(qq), RUN), RUN)
+    step = np.full(len(bq), size)
+    step[:-1] = np.where(bq[1:] == bq[:-1], np.minimum(np.diff(qq), size), size)
     cover = np.bincount(bq, weights=step)
     first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-    p_lo, p_hi = p[first], np.maximum.reduceat(p, first) + RUN
-    q_lo, q_hi = np.minimum.reduceat(q, first), np.maximum.reduceat(q, first) + RUN
+    p_lo, p_hi = p[first], np.maximum.reduceat(p, first) + size
+    q_lo, q_hi = np.minimum.reduceat(q, first), np.maximum.reduceat(q, first) + size
     done = set()
     for g in np.flatnonzero(cover >= LEAST_COVER):
         k, i = int(d[first[g]]), int(item[first[g]])
@@ -161,7 +265,7 @@ def _search(index: ItemIndex, doc_ids: list, texts: list) -> tuple[list, list]:
     return [doc_ids[k] for k, _ in done], [int(index.ids[i]) for _, i in done]
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text") -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text", exhaustive: bool = False) -> DataFrame:
     """doc_id, item_id of every document that leaks an item, once each.
 
     Case, punctuation, spacing, line breaks, hidden characters, markup and character form
@@ -175,16 +279,25 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: s
     out = None
     for b in range(blocks):
         part = it.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()  # at most about BLOCK_CHARS
-        index = src.sparkSession.sparkContext.broadcast(ItemIndex([(r["item_id"], r["t"]) for r in part]))
+        made = [(r["item_id"], r["t"]) for r in part]
+        index = src.sparkSession.sparkContext.broadcast(ItemIndex(made) if exhaustive else SimIndex(made))
 
         def run(batches, index=index):
             for x in batches:
                 for lo in range(0, x.num_rows, 512):
                     y = x.slice(lo, 512)
-                    d, i = _search(index.value, y.column(0).to_pylist(), y.column(1).to_pylist()) if len(index.value.code) else ([], [])
+                    d, i = _search(index.value, y.column(0).to_pylist(), y.column(1).to_pylist(), exhaustive) if len(index.value.code) else ([], [])
                     if d:
                         yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64())], names=["doc_id", "item_id"])
 
         found = src.mapInArrow(run, "doc_id long, item_id long")
         out = found if out is None else out.unionByName(found)
     return out.distinct()
+
+
+def recall(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """One row: pairs found, pairs found by exhaustive candidates, and the share of the latter that is found."""
+    a = leaked_items(docs, items).withColumn("a", F.lit(1))
+    b = leaked_items(docs, items, exhaustive=True).withColumn("b", F.lit(1))
+    n = a.join(b, ["doc_id", "item_id"], "full").agg(F.count("a").alias("n_found"), F.count("b").alias("n_exhaustive"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"))
+    return n.select("n_found", "n_exhaustive", F.when(F.col("n_exhaustive") > 0, F.col("both") / F.col("n_exhaustive")).otherwise(F.lit(1.0)).alias("recall"))

@@ -60,6 +60,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
 
 
+def p8_recall(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.recall(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+
+
 def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_documents(_t(spark, d, "documents"))
 
@@ -68,7 +72,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_kinds(spark, d).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared_share, p2_found, p2_terms, p4_found, p4_error, p5_found, p6_found, p6_top, p7_pack, p7_summary, p8_found, p9_found, p9_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared_share, p2_found, p2_terms, p4_found, p4_error, p5_found, p6_found, p6_top, p7_pack, p7_summary, p8_found, p8_recall, p9_found, p9_kinds)}
 
 _SPANS = """
 WITH w AS (
