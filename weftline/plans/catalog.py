@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import advanced, graph, keyed, kmers, relational, scalar, text
+from . import advanced, further, graph, keyed, kmers, relational, scalar, text
 
-MODULES = (keyed, scalar, kmers, relational, graph, advanced, text)
+MODULES = (keyed, scalar, kmers, relational, graph, advanced, text, further)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
 FLAGSHIP = "agg01_kmer_count"
