@@ -99,20 +99,36 @@ class SimIndex(ItemIndex):
         self.win_item = np.repeat(np.arange(len(self.words)), n)
         self.win_pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         self.win_flat = self.win_pos + at[self.win_item]
-        self.prints = np.concatenate([*(fingerprints(w, self.vectors) for w in self.words), np.zeros(0, np.uint64)])
+        every = np.concatenate([*(fingerprints(w, self.vectors) for w in self.words), np.zeros(0, np.uint64)])
+        # items share passages: one entry a distinct fingerprint, and the windows that have it
+        self.prints, which = np.unique(every, return_inverse=True)
+        self.of_print = np.argsort(which, kind="stable")
+        self.first_of = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(self.prints)))])
         # rarer words weigh more
         df = np.bincount(np.concatenate([*(np.unique(w) for w in self.words), np.zeros(0, np.int64)]), minlength=len(self.vocab) + 1)
         self.weight = np.log1p(len(self.words) / np.maximum(df, 1))
-        self.tables = []
-        for shift, bits in BIT_BLOCKS:
-            one = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-            variants = np.unique(np.concatenate([[np.uint64(0)], (one[:, None] | one[None, :]).ravel()]))
-            key = ((self.prints >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
-            keys = (key[None, :] ^ variants.astype(np.uint32)[:, None]).ravel()
-            order = np.argsort(keys, kind="stable")
-            first = np.zeros((1 << bits) + 1, np.int32)
-            np.cumsum(np.bincount(keys, minlength=1 << bits), out=first[1:])
-            self.tables.append((first, (order % max(len(key), 1)).astype(np.int32)))
+        self._tables: list[tuple[np.ndarray, np.ndarray]] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_tables": None}  # the tables are made where they are used: they are the larger part
+
+    @property
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per block of bits: where a key's entries begin, and the fingerprints under it."""
+        if self._tables is None:
+            self._tables = [self._table(shift, bits) for shift, bits in BIT_BLOCKS]
+        return self._tables
+
+    def _table(self, shift: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        one = np.uint32(1) << np.arange(bits, dtype=np.uint32)
+        variants = np.unique(np.concatenate([[np.uint32(0)], (one[:, None] | one[None, :]).ravel()]))
+        key = ((self.prints >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
+        # key above, fingerprint number below: one sort of 64-bit numbers
+        both = ((key[None, :] ^ variants[:, None]).astype(np.uint64) << np.uint64(32)) | np.arange(len(key), dtype=np.uint64)[None, :]
+        both = np.sort(both.ravel())
+        first = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=1 << bits), out=first[1:])
+        return first, both.astype(np.uint32).astype(np.int32)
 
 
 def run_codes(w: np.ndarray) -> np.ndarray:
@@ -201,6 +217,9 @@ def near_windows(index: SimIndex, w: np.ndarray, off: np.ndarray) -> tuple[np.nd
         right.append(b[ok].astype(np.int64))
     pair = np.unique(np.concatenate(left) * len(index.prints) + np.concatenate(right))
     a, b = pair // len(index.prints), pair % len(index.prints)
+    n = index.first_of[b + 1] - index.first_of[b]
+    b = index.of_print[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(index.first_of[b], n)]
+    a = np.repeat(a, n)
     keep = np.zeros(len(a), bool)
     span = np.arange(MIN_WORDS)
     for lo in range(0, len(a), 16384):
