@@ -82,9 +82,10 @@ def fingerprints(w: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """SimHash of every window of MIN_WORDS words."""
     if len(w) < MIN_WORDS:
         return np.zeros(0, np.uint64)
-    s = np.zeros((len(w) + 1, 64), np.int32)
-    np.cumsum(vectors[w], axis=0, dtype=np.int32, out=s[1:])
-    return np.packbits(s[MIN_WORDS:] > s[:-MIN_WORDS], axis=1).view(np.uint64).ravel()
+    # a window's sums lie within MIN_WORDS of 0, so running sums may wrap around in 8 bits
+    s = np.zeros((len(w) + 1, 64), np.int8)
+    np.cumsum(vectors[w], axis=0, dtype=np.int8, out=s[1:])
+    return np.packbits((s[MIN_WORDS:] - s[:-MIN_WORDS]) > 0, axis=1).view(np.uint64).ravel()
 
 
 class SimIndex(ItemIndex):
