@@ -33,6 +33,13 @@ class Stream:
     def uniform(self) -> float:
         return (self.bits() >> 11) * 2.0**-53
 
+    def uniforms(self, n: int) -> np.ndarray:
+        """The next n draws of ``uniform`` at once."""
+        z, state = splitmix64(self.state + _GAMMA * np.arange(n, dtype=np.uint64))
+        if n:
+            self.state = state[-1:]
+        return (z >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
     def shuffle(self, n: int) -> np.ndarray:
         """A permutation of 0..n-1 (Fisher-Yates)."""
         out = np.arange(n)

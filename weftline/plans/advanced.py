@@ -11,6 +11,7 @@ from ..functions import seq as S
 from ..kernels import align, chain, consensus, maxcut
 from ..operators import graph as G
 from ..operators import kmers as K
+from ..options import Options
 from .common import EDGES, OVERLAPS, READS, Registry, edges, overlaps, reads
 from .kmers import _ALL, KLEN, seed_hits
 from .relational import _CONT, containers
@@ -364,10 +365,6 @@ def pur04_reverse_consistent(spark, d):
 
 # --- phasing ----------------------------------------------------------------
 
-#: Components up to this many edges are solved whole by the kernel; larger ones by distributed rounds.
-KERNEL_EDGES = 20_000
-
-
 def signed_edges(spark, d):
     """Links with a sign: matches on opposite strands ask for opposite sides."""
     o = overlaps(spark, d).where("qn <> tn")
@@ -375,38 +372,22 @@ def signed_edges(spark, d):
 
 
 def phase(e):
-    """rid, group_id, spin of every node of the signed edges (u, v, w)."""
+    """rid, group_id, spin of every node of the signed edges (u, v, w); components of any size by the same kernel."""
     from ..scratch import Scratch
 
     scratch = Scratch(e.sparkSession, "phase")
     e = scratch.table(e, "edges")
     comp = scratch.table(G.components(e), "components")
-    e = e.join(comp.select(c("rid").alias("u"), "group_id"), "u")
-    size = e.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    small = e.join(size.where(c("n") <= KERNEL_EDGES).select("group_id"), "group_id", "left_semi").select("group_id", "u", "v", "w")
+    e = e.join(comp.select(c("rid").alias("u"), "group_id"), "u").select("group_id", "u", "v", "w")
+    o = Options()
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["u", "v"])  # rows of a group come in any order; the draws are replayable
         ids = np.unique(np.concatenate([t["u"], t["v"]]))
-        s = maxcut.solve(len(ids), np.searchsorted(ids, t["u"]), np.searchsorted(ids, t["v"]), t["w"].to_numpy(), rounds=20)
+        s = maxcut.solve(len(ids), np.searchsorted(ids, t["u"]), np.searchsorted(ids, t["v"]), t["w"].to_numpy(), o.seed, o.perturb, o.perturb_rate)
         return pd.DataFrame({"rid": ids, "group_id": t["group_id"].iloc[0], "spin": s.astype(np.int32)})
 
-    out = small.groupBy("group_id").applyInPandas(run, "rid long, group_id long, spin int")
-    big = e.join(size.where(c("n") > KERNEL_EDGES).select("group_id"), "group_id", "left_semi").select("group_id", "u", "v", "w")
-    if size.where(c("n") > KERNEL_EDGES).isEmpty():
-        return out
-    return out.unionByName(_flip_rounds(big, scratch))
-
-
-def _flip_rounds(e, scratch, rounds: int = 20):
-    """Local flips over all nodes of large components at once; each round moves one half of the nodes, told by a hash, so neighbours rarely move together."""
-    both = scratch.table(e.unionByName(e.select("group_id", c("v").alias("u"), c("u").alias("v"), "w")), "both")
-    spin = scratch.table(both.select(c("u").alias("rid"), "group_id").distinct().withColumn("spin", F.lit(1)), "spin")
-    for k in range(rounds):
-        z = both.join(spin.select(c("rid").alias("v"), "spin"), "v").groupBy(c("u").alias("rid")).agg(F.sum(c("w") * c("spin")).alias("z"))
-        turn = F.pmod(F.xxhash64("rid", F.lit(k)), F.lit(2)) == 0
-        want = F.when(c("z") > 0, -1).when(c("z") < 0, 1).otherwise(c("spin"))
-        spin = scratch.table(spin.join(z, "rid").select("rid", "group_id", F.when(turn, want).otherwise(c("spin")).cast("int").alias("spin")), "spin")
-    return spin
+    return e.groupBy("group_id").applyInPandas(run, "rid long, group_id long, spin int")
 
 
 @q()
