@@ -2,6 +2,7 @@
 
 import random
 
+from weftline.operators import graph as G
 from weftline.plans import advanced
 
 PAF = "x_id long, x_pos_s long, x_pos_e long, x_pos_strand int, y_id long, y_pos_s long, y_pos_e long, y_pos_strand int, match_len long, total_len long"
@@ -27,3 +28,9 @@ def test_whole_span_is_placed(spark, tmp_path):
     b = put(a, 150, "A" if a[150] != "A" else "C")
     d = folder(spark, tmp_path, [a, b], [(0, 0, 200, 1, 0)])
     assert [tuple(r)[5:] for r in advanced.aln03_semi_global(spark, d).collect()] == [(1, 0, 200)]
+
+
+def test_tips_until_none(spark):
+    """A full binary tree of 12 levels towards its root: each round bares the next level."""
+    arcs = [(2 * h, 2 * (h // 2), 1, 9) for h in range(2, 1 << 13)]
+    assert G.clean_tips(spark.createDataFrame(arcs, "u long, v long, len int, ol int"), 1).isEmpty()

@@ -68,18 +68,18 @@ def drop_nodes(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
     return arcs.join(n.withColumnRenamed("node", "u"), "u", "left_anti").join(n.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v", "len", "ol")
 
 
-def clean_tips(arcs: DataFrame, longest: int = 3, rounds: int = 10) -> DataFrame:
-    """Arcs after removing tips until there are none (or ``rounds`` rounds)."""
+def clean_tips(arcs: DataFrame, longest: int = 3) -> DataFrame:
+    """Arcs after removing tips until there are none; every round but the last takes nodes away, so this ends."""
     scratch = Scratch(arcs.sparkSession, "tips")
     arcs, path = scratch.write(arcs, "arcs")
-    for _ in range(rounds):
-        t = scratch.table(tips(arcs, longest), "gone")
+    while True:
+        t, gone = scratch.write(tips(arcs, longest), "gone")
         if t.isEmpty():
-            break
+            return arcs
         arcs, new = scratch.write(drop_nodes(arcs, t), "arcs")
         scratch.drop(path)
+        scratch.drop(gone)
         path = new
-    return arcs
 
 
 def weak_arcs(arcs: DataFrame, ratio: float) -> DataFrame:
