@@ -5,21 +5,22 @@ from __future__ import annotations
 import numpy as np
 
 
-def consensus(texts: list[str], match: int = 2, mismatch: int = -4, gap: int = -3) -> str:
+def consensus(texts: list[str], counts: list[int] | None = None, match: int = 2, mismatch: int = -4, gap: int = -3) -> str:
     """The heaviest path through the alignment graph of the texts, the first of them as backbone.
 
-    Texts are added in order; an empty list gives an empty text.
+    Texts are added in order, each once with its count as weight; an empty list gives an empty text.
     """
+    counts = [k for t, k in zip(texts, counts or [1] * len(texts)) if t]
     texts = [t for t in texts if t]
     if not texts:
         return ""
     base = list(texts[0])
     inn: list[dict[int, int]] = [{} for _ in base]
-    weight = [1] * len(base)
+    weight = [counts[0]] * len(base)
     alike: list[list[int]] = [[] for _ in base]
     for i in range(1, len(base)):
-        inn[i][i - 1] = 1
-    for text in texts[1:]:
+        inn[i][i - 1] = counts[0]
+    for text, times in zip(texts[1:], counts[1:]):
         order = _topological(inn)
         rank = {x: k for k, x in enumerate(order)}
         m = len(text)
@@ -76,13 +77,13 @@ def consensus(texts: list[str], match: int = 2, mismatch: int = -4, gap: int = -
                     alike[cur] = list(group)
                     for y in group:
                         alike[y].append(cur)
-            weight[cur] += 1
+            weight[cur] += times
             if prev is not None:
-                inn[cur][prev] = inn[cur].get(prev, 0) + 1
+                inn[cur][prev] = inn[cur].get(prev, 0) + times
             prev = cur
     order = _topological(inn)
     gain, back = {}, {}
-    half = len(texts) / 2
+    half = sum(counts) / 2
     for x in order:
         p = max(inn[x], key=lambda y: (gain[y], inn[x][y]), default=None)
         gain[x] = weight[x] - half + (max(gain[p], 0) if p is not None else 0)

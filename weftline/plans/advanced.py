@@ -236,19 +236,39 @@ def ecc04_apply(spark, d):
     return t.select("rid", run("seq", "f.col", "f.base").alias("seq"), F.size("f").alias("n_changed"))
 
 
+#: Settled letters kept at either side of a disputed range; ranges whose margins meet are one.
+MARGIN = 5
+
+
+def disputed_ranges(cols, m):
+    """rid, s, e: runs of open columns with their margins, cut where a match (rid, qs, qe) starts or ends, so that a match covers a range whole or not at all."""
+    cut = m.select("rid", c("qs").alias("col")).unionByName(m.select("rid", c("qe").alias("col"))).distinct().withColumn("cut", c("col"))
+    t = cut.unionByName(cols.select("rid", "col"), allowMissingColumns=True)
+    w = Window.partitionBy("rid").orderBy("col", F.desc_nulls_last("cut"))
+    t = t.withColumn("lo", F.max("cut").over(w)).withColumn("hi", F.min("cut").over(w.rowsBetween(0, Window.unboundedFollowing))).where("cut is null")
+    w = Window.partitionBy("rid", "lo").orderBy("col")
+    t = t.withColumn("new", F.coalesce(c("col") - F.lag("col").over(w) > 2 * MARGIN, F.lit(True)).cast("int")).withColumn("k", F.sum("new").over(w))
+    return t.groupBy("rid", "lo", "hi", "k").agg(F.min("col").alias("a"), F.max("col").alias("b")).select("rid", F.greatest(c("a") - MARGIN, "lo").alias("s"), F.least(c("b") + MARGIN + 1, "hi").alias("e"))
+
+
 @q()
 def ecc02_range_consensus(spark, d):
-    """Partial-order consensus of the first 40 letters of each record over the ungapped matches that cover them (ECC-02)."""
-    t = spans(spark, d).where("qn <> tn and qs = 0 and qe >= 40").select(c("qn").alias("rid"), F.substring("qseq", 1, 40).alias("own"), F.substring("tseq", 1, 40).alias("alt"))
-    # texts of a range repeat: count them before they travel, and let the graph see each with its number
-    n = t.groupBy("rid", "own", "alt").agg(F.count(F.lit(1)).alias("n"))
-    g = n.groupBy("rid", "own").agg(F.sort_array(F.collect_list(F.struct("alt", "n"))).alias("g"))
+    """Partial-order consensus of every disputed range of a record over all ungapped matches that cover it (ECC-02)."""
+    from ..operators import intervals as I
+
+    m = spans(spark, d).where("qn <> tn and length(qseq) = length(tseq) and length(qseq) > 0")
+    m = m.select(c("qn").alias("rid"), "qs", (c("qs") + F.length("qseq")).alias("qe"), "qseq", "tseq")
+    at = lambda x: F.expr(f"substr({x}, cast(s - qs + 1 as int), cast(e - s as int))")
+    j = I.point_join(disputed_ranges(open_columns(votes(spark, d)), m.select("rid", "qs", "qe")), m, "rid", "s", "qs", "qe")
+    # texts of a range repeat: count them before they travel; the graph takes each once with its number as weight
+    n = j.select("rid", "s", "e", at("qseq").alias("own"), at("tseq").alias("alt")).groupBy("rid", "s", "e", "own", "alt").agg(F.count(F.lit(1)).alias("n"))
+    g = n.groupBy("rid", "s", "e", "own").agg(F.sort_array(F.collect_list(F.struct("alt", "n"))).alias("g"))
 
     @F.pandas_udf("string")
     def run(own: pd.Series, alts: pd.Series, counts: pd.Series) -> pd.Series:
-        return pd.Series([consensus.consensus([o, *(x for x, k in zip(a, m) for _ in range(min(int(k), 8)))]) for o, a, m in zip(own, alts, counts)])
+        return pd.Series([consensus.consensus([o, *a], [1, *(int(k) for k in m)]) for o, a, m in zip(own, alts, counts)])
 
-    return g.select("rid", run("own", "g.alt", "g.n").alias("text"), F.size("g").alias("n_texts"))
+    return spread(g).select("rid", "s", "e", run("own", "g.alt", "g.n").alias("text"), F.size("g").alias("n_texts"))
 
 
 @q(f"WITH {OVERLAPS} SELECT qn, tn, ql - qe AS qs, ql - qs AS qe, tl - te AS ts, tl - ts AS te, rev FROM ovl")
