@@ -1,6 +1,13 @@
+import os
+import sys
+
 import pytest
 
-from weftline.llm import residue
+from weftline.llm import notice_grammar, residue
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from notices import ARTICLES, NOTICES  # noqa: E402
 
 ARTICLE = "The quiet harbour of Olwi measures every boat twice a week. In 1912 the bakers of the town brought 40 boxes of bread, and the mayor thanked them."
 CASES = [
@@ -30,6 +37,29 @@ def test_content(text):
     assert residue.verdict(text) is None, residue.weigh(text)
 
 
+def test_notices_collected_before_their_rules():
+    """At least 80 % of public notices, and none of as many articles that mention such wording."""
+    missed = [t for t in NOTICES if not residue.verdict(t)]
+    assert len(NOTICES) >= 60 and len(missed) <= len(NOTICES) // 5, missed
+    assert len(ARTICLES) >= 60 and not [t for t in ARTICLES if residue.verdict(t)]
+
+
+def test_long_notice_sentences_are_judged():
+    long = "The requested page could not be found on this server and " * 8 + "is no longer available"
+    assert len(long.split()) > 80 and residue.verdict(long)
+
+
+@pytest.mark.parametrize("text", ["The site of the castle was moved in 1840 by monks.", "The page was torn from the book.", "Sans cuisine cette veste mène et éclaire la serrure et la allée.", "La casa de adobe es una obra de la abuela y no se vende."])
+def test_prose_is_no_notice(text):
+    q = residue.squash(text)
+    assert not notice_grammar.says(q) and residue.verdict(text) is None
+
+
+def test_lost_guillemets():
+    assert residue.verdict("Hola \ufffdproduct_name\ufffd, gracias.\n\ufffdORDER_ID\ufffd ofrece \ufffdcity\ufffd por \ufffdpage.title\ufffd.") == "template"
+    assert residue.verdict("Page introuvable\nLa page demand\ufffde a \ufffdt\ufffd d\ufffdplac\ufffde.") == "residue"
+
+
 def test_table(spark):
     rows = [(i, t, "a", 1) for i, t in enumerate(CASES + FINE)] + [(None, CASES[0], "a", 1), (500, None, "a", 1), (0, CASES[0], "a", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string, t int")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import notice_grammar
+
 _HIDDEN = re.compile(r"[\x00\u00ad\u034f\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _SPACES = re.compile(r"[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
@@ -40,6 +42,8 @@ DELIMITERS = (
 )
 PLACEHOLDER = re.compile("|".join(rf"{a}\s?{_NAME}\s?{b}" for a, b in DELIMITERS))
 _SIGNS = re.compile(r"[{}\[\]<>%@#$«»]|__")
+#: Guillemets around a name that a wrong charset has made replacement characters.
+_LOST_SIGNS = re.compile(r"(?<![A-Za-z\ufffd])\ufffd{1,2}([A-Za-z][A-Za-z0-9_.]{3,}(?: [A-Za-z]+)?)\ufffd{1,2}(?![A-Za-z\ufffd])")
 
 # --- code and quotations ----------------------------------------------------
 _CODE = re.compile(r"```.*?(?:```|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)|`[^`\n]{1,200}`", re.S | re.I)
@@ -56,7 +60,7 @@ _ASIDE = [
     r"wir verwenden cookies\b.*", r"diese seite speichert cookies\b.*", r"alle annehmen\b.*", r"einverstanden\.?",
     r"nous utilisons des cookies\b.*", r"ce site (?:dépose|utilise) des cookies\b.*", r"tout accepter\b.*", r"d.?accord\.?",
     r"(?:usamos|utilizamos) cookies\b.*", r"este sitio (?:guarda|usa) cookies\b.*", r"aceptar todo\b.*", r"de acuerdo\.?",
-    r"(?:\(c\)|copyright)\b.*", r".*all rights reserved\b.*", r"alle rechte bei\b.*", r"tous droits réservés\b.*", r"todos los derechos\b.*", r"terms of use\b.*", r"follow .{1,40} on the usual channels\b.*", r"\d{4} \S.{0,40}made with care\.?",
+    r"(?:\(c\)|copyright)\b.*", r".{0,120}all rights reserved\b.{0,120}", r"alle rechte bei\b.*", r"tous droits réservés\b.*", r"todos los derechos\b.*", r"terms of use\b.*", r"follow .{1,40} on the usual channels\b.*", r"\d{4} \S.{0,40}made with care\.?",
     r"made with care\.?", r"back to top\.?", r"zurück nach oben\.?", r"haut de page\.?", r"volver arriba\.?", r"mirror:? \S+", r"[\w-]+\.(?:test|example|invalid|com|org|net)",
 ]
 _LIST_HEAD = [
@@ -168,13 +172,13 @@ def _judge(sentence: str) -> str:
     w = _WORD.findall(s)
     if not w:
         return "aside"
-    if len(w) <= 40 and _RE_ASIDE.fullmatch(s):
+    if _RE_ASIDE.fullmatch(s):
         return "aside"
-    if _is_filler(w):
+    if _is_filler(w) or notice_grammar.mock_latin(w, FUNCTION_WORDS):
         return "residue"
-    if len(w) <= 36 and not _TRIGGERS.isdisjoint(w) and (_RE_NOTICE.match(s) or _RE_FILLER.match(s)):
+    if not _TRIGGERS.isdisjoint(w) and (_RE_NOTICE.match(s) or _RE_FILLER.match(s)):
         return "residue"
-    return "content"
+    return "residue" if notice_grammar.says(s) else "content"
 
 
 def weigh(text: str) -> dict[str, int]:
@@ -184,6 +188,8 @@ def weigh(text: str) -> dict[str, int]:
     if "&" in text:
         text = html.unescape(text)
     text = _CODE.sub(" quoted code ", text) if "`" in text or "<pre" in text.lower() or "<code" in text.lower() else text
+    if "\ufffd" in text:
+        text = _LOST_SIGNS.sub(r"«\1»", text)
     in_list = False
     for line in text.split("\n"):
         line = line.strip()
