@@ -89,12 +89,33 @@ def test_top_values(spark):
     assert count_sketch.top_values(df.where("x = 5"), "x").count() == 1
 
 
+def test_partials_merge_in_rounds(spark):
+    """10,000 partials: no merge group takes over FAN_IN of them, so none reads over 64 MB."""
+    from pyspark.sql import functions as F
+
+    cells = np.arange(count_sketch.BLOCK, dtype=np.int64)
+    one = bytes(cells.tobytes())
+    parts = spark.range(10_000, numPartitions=8).select(F.lit(3).alias("block"), F.col("id").cast("int").alias("node"), F.lit(bytearray(one)).alias("cells"))
+    sizes = parts.groupBy(F.floor(F.col("node") / count_sketch.FAN_IN)).count().agg(F.max("count")).first()[0]
+    assert sizes * len(one) <= 64 << 20
+    got = count_sketch.merge_rounds(parts, 10_000).collect()
+    assert len(got) == 1 and np.array_equal(np.frombuffer(got[0]["cells"], np.int64), 10_000 * cells)
+
+
+def test_descent_says_when_it_may_have_missed_one(spark):
+    flat = spark.range(50_000).selectExpr("id % 5000 as x")
+    got = count_sketch.top_values(flat, "x", k=3, keep_factor=1, width_bits=6, widen=0).collect()
+    assert got and not any(r["sure"] for r in got)
+    wide = count_sketch.top_values(spark.range(50_000).selectExpr("if(id % 2 = 0, 7, id) as x"), "x", k=1).collect()
+    assert [(r["val"], r["sure"]) for r in wide] == [(7, True)]
+
+
 def test_sketch_estimates_are_fair():
     h = count_sketch.Hierarchy(5, 10)
     rng = np.random.default_rng(1)
     v = rng.zipf(1.3, 100_000).astype(np.int64)
     h.add(v)
-    vals, est = h.descend(200)
+    vals, est, cut = h.descend(200)
     n = Counter(v.tolist())
     top = [x for x, _ in n.most_common(10)]
     assert set(top) <= set(vals.tolist())

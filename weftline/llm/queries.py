@@ -44,6 +44,10 @@ def p6_top(spark: SparkSession, d: str) -> DataFrame:
     return count_sketch.top_values(_t(spark, d, "minimizers"), "x")
 
 
+def p6_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return p6_top(spark, d).select("val", "n_rows", "rank")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_top(spark, d).select(F.col("val").alias("x"))
 
@@ -72,7 +76,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_kinds(spark, d).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared_share, p2_found, p2_terms, p4_found, p4_error, p5_found, p6_found, p6_top, p7_pack, p7_summary, p8_found, p8_recall, p9_found, p9_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared_share, p2_found, p2_terms, p4_found, p4_error, p5_found, p6_found, p6_ranked, p6_top, p7_pack, p7_summary, p8_found, p8_recall, p9_found, p9_kinds)}
 
 _SPANS = """
 WITH w AS (
@@ -112,5 +116,6 @@ WITH RECURSIVE e AS (
   SELECT DISTINCT x_id AS u, y_id AS v FROM paf WHERE x_id <> y_id UNION SELECT DISTINCT y_id, x_id FROM paf WHERE x_id <> y_id
 ), r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
 SELECT least(min(v), u) AS group_id, u AS rid FROM r GROUP BY u""",
+    "p6_ranked": "SELECT x AS val, count(*)::BIGINT AS n_rows, (row_number() OVER (ORDER BY count(*) DESC, x))::INTEGER AS rank FROM minimizers WHERE x IS NOT NULL GROUP BY x ORDER BY rank LIMIT 10",
     "p6_found": "SELECT x FROM minimizers WHERE x IS NOT NULL GROUP BY x ORDER BY count(*) DESC, x LIMIT 10",
 }
