@@ -36,14 +36,14 @@ def brute(rows, n):
 def records(seed=1, n=60):
     rnd = random.Random(seed)
     dna = lambda k: "".join(rnd.choice("ACGT") for _ in range(k))
-    shared = [dna(rnd.randint(30, 260)) for _ in range(6)]
+    shared = [dna(rnd.randint(30, 360)) for _ in range(6)]
     rows = []
     for i in range(n):
         parts = [dna(rnd.randint(0, 120))]
         for _ in range(rnd.randint(0, 3)):
             s = rnd.choice(shared)
             a = rnd.randint(0, len(s) - 1)
-            parts += [s[a : a + rnd.randint(20, 200)], dna(rnd.randint(0, 30))]
+            parts += [s[a : a + rnd.randint(20, 330)], dna(rnd.randint(0, 30))]
         t = "".join(parts)
         if rnd.random() < 0.2 and t:
             p = rnd.randint(0, len(t) - 1)
@@ -53,7 +53,7 @@ def records(seed=1, n=60):
     return rows
 
 
-@pytest.mark.parametrize(("n", "hot"), [(100, 50_000), (100, 3), (64, 50_000), (40, 2)])
+@pytest.mark.parametrize(("n", "hot"), [(100, 50_000), (100, 3), (64, 50_000), (40, 2), (170, 50_000), (180, 4)])
 def test_spans_equal_brute_force(spark, n, hot):
     rows = records()
     df = spark.createDataFrame([(r, s, 1, 2, 3, "x") for r, s in rows], SCHEMA).repartition(3)
@@ -61,6 +61,16 @@ def test_spans_equal_brute_force(spark, n, hot):
     assert {tuple(r) for r in got} == brute(rows, n) and len(got) == len(set(got))
 
 
+def test_long_spans(spark):
+    rnd = random.Random(4)
+    dna = lambda k: "".join(rnd.choice("ACGT") for _ in range(k))
+    a = dna(2500)
+    rows = [(1, dna(50) + a + dna(10)), (2, a[:900] + dna(5) + a[1000:]), (3, a[300:701]), (4, dna(1000))]
+    df = spark.createDataFrame([(r, s, 1, 2, 3, "x") for r, s in rows], SCHEMA)
+    for n in (400, 1000, 2000):
+        assert {tuple(r) for r in rlz_spans.shared_spans(df, min_len=n).collect()} == brute(rows, n)
+
+
 def test_copies_hold_a_third_of_all_rows(spark):
     rnd = random.Random(7)
     dna = lambda k: "".join(rnd.choice("ACGT") for _ in range(k))

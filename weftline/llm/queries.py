@@ -16,6 +16,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return rlz_spans.shared_spans(_t(spark, d, "kseq_reads"))
 
 
+def p1_hot_found(spark: SparkSession, d: str) -> DataFrame:
+    """p1_found with so low a limit that the way of the hot minimizers is taken at any size."""
+    return rlz_spans.shared_spans(_t(spark, d, "kseq_reads"), hot_pieces=20)
+
+
+def p1_long_found(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of 200 letters or more."""
+    return rlz_spans.shared_spans(_t(spark, d, "kseq_reads"), min_len=200)
+
+
 def p1_shared_share(spark: SparkSession, d: str) -> DataFrame:
     return rlz_spans.shared_share(_t(spark, d, "kseq_reads")).select("x_id", "n_letters", "shared_letters", F.round("shared_share", 6).alias("shared_share"))
 
@@ -76,26 +86,28 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_kinds(spark, d).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared_share, p2_found, p2_terms, p4_found, p4_error, p5_found, p6_found, p6_ranked, p6_top, p7_pack, p7_summary, p8_found, p8_recall, p9_found, p9_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hot_found, p1_long_found, p1_shared_share, p2_found, p2_terms, p4_found, p4_error, p5_found, p6_found, p6_ranked, p6_top, p7_pack, p7_summary, p8_found, p8_recall, p9_found, p9_kinds)}
 
-_SPANS = """
+_SPANS_OF = """
 WITH w AS (
-  SELECT DISTINCT rid, s, substr(u, s + 1, 100) AS win
-  FROM (SELECT rid, upper(seq) AS u, unnest(range(0, greatest(length(seq) - 99, 0))) AS s FROM kseq_reads WHERE rid IS NOT NULL AND seq IS NOT NULL)
-  WHERE regexp_full_match(substr(u, s + 1, 100), '[ACGT]{100}')
+  SELECT DISTINCT rid, s, substr(u, s + 1, @N@) AS win
+  FROM (SELECT rid, upper(seq) AS u, unnest(range(0, greatest(length(seq) - @N@ + 1, 0))) AS s FROM kseq_reads WHERE rid IS NOT NULL AND seq IS NOT NULL)
+  WHERE regexp_full_match(substr(u, s + 1, @N@), '[ACGT]{@N@}')
 ), shared AS (
   SELECT win FROM w GROUP BY win HAVING count(DISTINCT rid) > 1
 ), hit AS (
   SELECT DISTINCT rid, s FROM w SEMI JOIN shared USING (win)
 ), marked AS (
-  SELECT rid, s, CASE WHEN s <= lag(s) OVER (PARTITION BY rid ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM hit
+  SELECT rid, s, CASE WHEN s <= lag(s) OVER (PARTITION BY rid ORDER BY s) + @N@ THEN 0 ELSE 1 END AS new FROM hit
 ), island AS (
   SELECT rid, s, sum(new) OVER (PARTITION BY rid ORDER BY s) AS g FROM marked
 ), spans AS (
-  SELECT rid AS x_id, min(s)::BIGINT AS x_pos_s, (max(s) + 100)::BIGINT AS x_pos_e FROM island GROUP BY rid, g
+  SELECT rid AS x_id, min(s)::BIGINT AS x_pos_s, (max(s) + @N@)::BIGINT AS x_pos_e FROM island GROUP BY rid, g
 )
 """
 
+_SPANS = _SPANS_OF.replace("@N@", "100")
+
 _TERMS = """
 WITH t AS (SELECT 'x' AS field_name, x AS val, rid FROM minimizers UNION ALL SELECT 'cnt', cnt, rid FROM anchors),
 f AS (SELECT field_name, val, count(*)::BIGINT AS n_rows, count(DISTINCT rid)::BIGINT AS n_records FROM t WHERE val IS NOT NULL GROUP BY ALL)
@@ -104,6 +116,8 @@ SELECT field_name, val, n_rows, n_records, CASE WHEN n_records = 1 THEN 'rare' W
 
 SQL = {
     "p1_found": _SPANS + "SELECT * FROM spans",
+    "p1_hot_found": _SPANS + "SELECT * FROM spans",
+    "p1_long_found": _SPANS_OF.replace("@N@", "200") + "SELECT * FROM spans",
     "p1_shared_share": _SPANS + """
 SELECT r.x_id, r.n_letters, coalesce(g.n, 0)::BIGINT AS shared_letters, round(CASE WHEN r.n_letters > 0 THEN coalesce(g.n, 0) / r.n_letters ELSE 0 END, 6) AS shared_share
 FROM (SELECT rid AS x_id, coalesce(max(length(seq)), 0)::BIGINT AS n_letters FROM kseq_reads WHERE rid IS NOT NULL GROUP BY rid) r

@@ -14,7 +14,7 @@ behind it. Factors are at least ``min_len`` long, hence duplicate spans.
 
 Skew: equal pieces of one slice of the input leave the scan as one row, and blocks keep equal pieces
 once, so copies don't pile up; spans of a piece with several holders go back to the holders
-by a join on the piece's key. Minimizers in a large share of the pieces (a bounded list) rank
+by a join on the piece's key. Minimizers that bring over a fixed number of pieces (a bounded list) rank
 last, so that their windows spread over other minimizers; windows with none but such
 minimizers are compared one by one in a plain aggregation by window, exactly.
 """
@@ -29,16 +29,23 @@ from pyspark.sql import functions as F
 from ..kernels.bits import CODE, letter_runs, mix, packed, sliding_min, text_slices
 from ..scratch import Scratch
 
-#: Words of 32 letters in a piece; pieces are at most 192 letters.
-WORDS = 6
+#: Most minimizers that may be held as hot: 8 MB of keys, sent to the workers once.
+HOT_KEYS = 1_000_000
 HOT_BIT = np.uint64(1 << 63)
+NO_KEYS = np.zeros(0, np.uint64)
+
+
+def piece_words(min_len: int) -> int:
+    """Words of 32 letters in a piece: room for 92 window starts at least."""
+    return max(6, -(-(min_len + 91) // 32))
 
 
 def pieces(rid: np.ndarray, data: np.ndarray, off: np.ndarray, min_len: int, k: int, hot: np.ndarray) -> dict[str, np.ndarray]:
     """Runs of window starts with one minimizer: mz, w0.., n (letters), rid, pos."""
+    n_words = piece_words(min_len)
     code = CODE[data]
     lo, hi, rec = letter_runs(code, off, min_len)
-    none = {"mz": np.zeros(0, np.int64), "n": np.zeros(0, np.int16), "rid": np.zeros(0, np.int64), "pos": np.zeros(0, np.int32)} | {f"w{j}": np.zeros(0, np.int64) for j in range(WORDS)}
+    none = {"mz": np.zeros(0, np.int64), "n": np.zeros(0, np.int32), "rid": np.zeros(0, np.int64), "pos": np.zeros(0, np.int32)} | {f"w{j}": np.zeros(0, np.int64) for j in range(n_words)}
     if not len(lo):
         return none
     size = hi - lo
@@ -60,7 +67,7 @@ def pieces(rid: np.ndarray, data: np.ndarray, off: np.ndarray, min_len: int, k:
     new[1:] = (mv[1:] != mv[:-1]) | (run[1:] != run[:-1])
     first = np.flatnonzero(new)
     length = np.diff(np.append(first, len(mv)))
-    most = 32 * WORDS - min_len + 1
+    most = 32 * n_words - min_len + 1
     if (length > most).any():  # repeats keep one minimizer for long: cut, as starts are compared one by one anyway
         extra = -(-length // most)
         base = np.repeat(first, extra)
@@ -68,8 +75,8 @@ def pieces(rid: np.ndarray, data: np.ndarray, off: np.ndarray, min_len: int, k:
         left = np.repeat(length, extra) - step * most
         first, length = base + step * most, np.minimum(left, most)
     a, n = start[first], length + min_len - 1
-    out = {"mz": mv[first].view(np.int64), "n": n.astype(np.int16), "rid": rid[rec[run[first]]], "pos": (src[a] - off[rec[run[first]]]).astype(np.int32)}
-    for j in range(WORDS):
+    out = {"mz": mv[first].view(np.int64), "n": n.astype(np.int32), "rid": rid[rec[run[first]]], "pos": (src[a] - off[rec[run[first]]]).astype(np.int32)}
+    for j in range(n_words):
         valid = np.clip(n - 32 * j, 0, 32)
         w = c32[np.minimum(a + 32 * j, len(c32) - 1)]
         w = np.where(valid == 32, w, (w >> (np.uint64(64) - 2 * np.maximum(valid, 1).astype(np.uint64))) << (np.uint64(64) - 2 * np.maximum(valid, 1).astype(np.uint64)))
@@ -81,7 +88,7 @@ def piece_key(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """128 bits that stand for a piece's letters and length."""
     a = mix(p["n"].astype(np.uint64) + np.uint64(0x51))
     b = mix(p["n"].astype(np.uint64) + np.uint64(0xC3))
-    for j in range(WORDS):
+    for j in range(len(p) - 4):
         w = p[f"w{j}"].view(np.uint64)
         a = mix(a ^ w)
         b = mix(b + w * np.uint64(0x9E3779B97F4A7C15))
@@ -90,12 +97,12 @@ def piece_key(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def window_words(w: np.ndarray, piece: np.ndarray, o: np.ndarray, n: int) -> list[np.ndarray]:
     """n letters from offset o of each piece, in words of 32, zero-padded."""
-    out = []
+    out, last = [], w.shape[1] - 1
     for j in range(-(-n // 32)):
         at = o + 32 * j
         q, r = at // 32, (2 * (at % 32)).astype(np.uint64)
-        hi = w[piece, np.minimum(q, WORDS - 1)] * (q < WORDS)
-        lo = w[piece, np.minimum(q + 1, WORDS - 1)] * (q + 1 < WORDS)
+        hi = w[piece, np.minimum(q, last)] * (q <= last)
+        lo = w[piece, np.minimum(q + 1, last)] * (q < last)
         x = (hi << r) | np.where(r == 0, np.uint64(0), lo >> ((np.uint64(64) - r) & np.uint64(63)))
         left = n - 32 * j
         if left < 32:
@@ -194,20 +201,22 @@ def parse_block(w: np.ndarray, n: np.ndarray, mz: np.ndarray, rmin: np.ndarray,
     return tuple(np.concatenate(x) if i else cand[np.concatenate(x)] for i, x in enumerate(zip(*out)))
 
 
-PIECE = ", ".join(["mz long", "k1 long", "k2 long", *(f"w{j} long" for j in range(WORDS)), "n short", "rlo long", "rhi long", "plo int", "phi int"])
+def piece_schema(n_words: int) -> str:
+    return ", ".join(["mz long", "k1 long", "k2 long", *(f"w{j} long" for j in range(n_words)), "n int", "rlo long", "rhi long", "plo int", "phi int"])
 
 
-def scan_pieces(reads: DataFrame, min_len: int, k: int, hot: list[int], merge: bool) -> DataFrame:
-    """Pieces of every record. ``merge``: equal pieces of a slice become one row (owner and place as ranges)."""
-    hot_arr = np.sort(np.array(hot, np.int64).view(np.uint64))
+def scan_pieces(reads: DataFrame, min_len: int, k: int, hot, merge: bool) -> DataFrame:
+    """Pieces of every record; ``hot``: a broadcast of the hot minimizers or None. ``merge``: equal pieces of a slice become one row (owner and place as ranges)."""
+    n_words = piece_words(min_len)
+    schema = piece_schema(n_words)
 
     def run(batches):
         for rid, data, off in (x for b in batches for x in text_slices(b.column(0), b.column(1))):
-            p = pieces(rid, data, off, min_len, k, hot_arr)
+            p = pieces(rid, data, off, min_len, k, NO_KEYS if hot is None else hot.value)
             if not len(p["n"]):
                 continue
             k1, k2 = piece_key(p)
-            cols = {"mz": p["mz"], "k1": k1, "k2": k2, **{f"w{j}": p[f"w{j}"] for j in range(WORDS)}, "n": p["n"]}
+            cols = {"mz": p["mz"], "k1": k1, "k2": k2, **{f"w{j}": p[f"w{j}"] for j in range(n_words)}, "n": p["n"]}
             if merge:
                 o = np.lexsort((k2, k1))
                 g = np.flatnonzero(np.r_[True, (k1[o][1:] != k1[o][:-1]) | (k2[o][1:] != k2[o][:-1])])
@@ -216,12 +225,12 @@ def scan_pieces(reads: DataFrame, min_len: int, k: int, hot: list[int], merge: b
                 for c, v in (("rid", p["rid"]), ("pos", p["pos"])):
                     s = v[o]
                     cols[c[0] + "lo"], cols[c[0] + "hi"] = np.minimum.reduceat(s, g), np.maximum.reduceat(s, g)
-                cols = {c: cols[c] for c in [x.split()[0] for x in PIECE.split(", ")]}
+                cols = {c: cols[c] for c in [x.split()[0] for x in schema.split(", ")]}
             else:
                 cols = {"k1": k1, "k2": k2, "rid": p["rid"], "pos": p["pos"]}
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols.values()], names=list(cols))
 
-    return reads.mapInArrow(run, PIECE if merge else "k1 long, k2 long, rid long, pos int")
+    return reads.mapInArrow(run, schema if merge else "k1 long, k2 long, rid long, pos int")
 
 
 def shared_spans(reads: DataFrame, record: str = "rid", seq: str = "seq", min_len: int = 100, block_pieces: int = 20_000, hot_pieces: int = 50_000) -> DataFrame:
@@ -231,10 +240,15 @@ def shared_spans(reads: DataFrame, record: str = "rid", seq: str = "seq", min_le
     Letters compare without case; only A, C, G and T match, on the given strand. Rows that
     carry the same record id are one record: what they share among themselves is not shared.
     Null ids, null and empty sequences and sequences under ``min_len`` give no rows;
-    exact copies under another id are shared as a whole. ``min_len`` is 32 to 160.
+    exact copies under another id are shared as a whole. ``min_len`` is 32 or more; pieces
+    (and their rows) grow with it.
+
+    A block holds what its minimizers bring, and no minimizer that is not hot brings over
+    ``hot_pieces`` pieces, whatever the size of the input, until HOT_KEYS of them would be hot:
+    only an input of over HOT_KEYS * hot_pieces pieces (about 1.7e12 letters) raises that limit.
     """
-    if not 32 <= min_len <= 160:
-        raise ValueError("min_len must be 32 to 160")
+    if min_len < 32:
+        raise ValueError("min_len must be 32 or more")
     spark = reads.sparkSession
     k = max(16, min(32, min_len // 3))
     src = reads.select(F.col(record).cast("long").alias("rid"), F.col(seq).cast("string").alias("seq")).where("rid is not null and seq is not null")
@@ -243,13 +257,15 @@ def shared_spans(reads: DataFrame, record: str = "rid", seq: str = "seq", min_le
     # about one piece per (window count + 1) / 2 letters
     letters = src.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
     expected = 2 * letters // (min_len - k + 2) + 1
-    limit = max(hot_pieces, expected // 2000)
-    hot: list[int] = []
+    limit = max(hot_pieces, expected // HOT_KEYS)
+    hot = None
     if expected > limit:
-        counts = scan_pieces(src, min_len, k, [], True).groupBy("mz").agg(F.count(F.lit(1)).alias("c"))
-        hot = [r[0] for r in counts.where(F.col("c") > limit).select("mz").collect()]  # at most expected / limit values
+        counts = scan_pieces(src, min_len, k, None, True).groupBy("mz").agg(F.count(F.lit(1)).alias("c"))
+        keys = counts.where(F.col("c") > limit).select("mz").toPandas()["mz"].to_numpy(np.int64)  # at most expected / limit values, hence HOT_KEYS
+        if len(keys):
+            hot = spark.sparkContext.broadcast(np.sort(keys.view(np.uint64)))
     merged = scan_pieces(src, min_len, k, hot, True)
-    blocks = max(1, expected // block_pieces)
+    blocks, n_words = max(1, expected // block_pieces), piece_words(min_len)
 
     def parse(t: pa.Table) -> pa.Table:
         c = {f: t.column(f).to_numpy() for f in t.column_names}
@@ -258,7 +274,7 @@ def shared_spans(reads: DataFrame, record: str = "rid", seq: str = "seq", min_le
         f = o[g]
         lo = {x: np.minimum.reduceat(c[x][o], g) for x in ("rlo", "plo")}
         hi = {x: np.maximum.reduceat(c[x][o], g) for x in ("rhi", "phi")}
-        w = np.stack([c[f"w{j}"][f].view(np.uint64) for j in range(WORDS)], axis=1)
+        w = np.stack([c[f"w{j}"][f].view(np.uint64) for j in range(n_words)], axis=1)
         p, s, e = parse_block(w, c["n"][f], c["mz"][f], lo["rlo"], hi["rhi"], min_len)
         solo = (lo["rlo"] == hi["rhi"])[p] & (lo["plo"] == hi["phi"])[p]
         at = np.where(solo, lo["plo"][p], 0)
@@ -275,22 +291,21 @@ def shared_spans(reads: DataFrame, record: str = "rid", seq: str = "seq", min_le
     held = scan_pieces(src, min_len, k, hot, False)
     multi = held.join(spans.where("x_id is null").drop("x_id"), ["k1", "k2"]).select(F.col("rid").alias("x_id"), (F.col("pos") + F.col("s")).alias("s"), (F.col("pos") + F.col("e")).alias("e"))
     every = solo.unionByName(multi)
-    if hot:
+    if hot is not None:
         every = every.unionByName(hot_windows(src, min_len, k, hot))
     return join_touching(every)
 
 
-def hot_windows(src: DataFrame, min_len: int, k: int, hot: list[int]) -> DataFrame:
-    """The exact way for windows whose k-mers are all hot: compared by window, combined on the map side."""
-    hot_arr = np.sort(np.array(hot, np.int64).view(np.uint64))
+def hot_windows(src: DataFrame, min_len: int, k: int, hot) -> DataFrame:
+    """The exact way for windows whose k-mers are all hot (a broadcast): compared by window, combined on the map side."""
 
     def run(batches):
         for rid, data, off in (x for b in batches for x in text_slices(b.column(0), b.column(1))):
-            p = pieces(rid, data, off, min_len, k, hot_arr)
+            p = pieces(rid, data, off, min_len, k, hot.value)
             sel = np.flatnonzero(p["mz"] < 0)
             if not len(sel):
                 continue
-            w = np.stack([p[f"w{j}"][sel].view(np.uint64) for j in range(WORDS)], axis=1)
+            w = np.stack([p[f"w{j}"][sel].view(np.uint64) for j in range(piece_words(min_len))], axis=1)
             cnt = p["n"][sel].astype(np.int64) - min_len + 1
             piece = np.repeat(np.arange(len(sel)), cnt)
             o = np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)
