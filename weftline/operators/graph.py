@@ -139,18 +139,24 @@ def circles(arcs: DataFrame, paths: DataFrame) -> DataFrame:
     return degrees(arcs).where("n_in = 1 and n_out = 1").select("node").join(paths, "node", "left_anti")
 
 
-def levels(arcs: DataFrame, starts: DataFrame, most: int) -> DataFrame:
-    """node, level: least number of arcs from the start nodes, up to ``most``; one frontier join a level."""
+def levels(arcs: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """node, level: least number of arcs from the start nodes, up to ``most`` or until no node is new; one frontier join a level.
+
+    With a column ``start`` in ``starts`` every start is searched by itself and named in the result.
+    """
     scratch = Scratch(arcs.sparkSession, "levels")
-    seen = scratch.table(starts.select("node").distinct().withColumn("level", F.lit(0)), "seen")
-    frontier = seen
-    for k in range(1, most + 1):
-        to = frontier.select(c("node").alias("u")).join(arcs.select("u", "v"), "u").select(c("v").alias("node")).distinct()
-        new = scratch.table(to.join(seen, "node", "left_anti").withColumn("level", F.lit(k)), "new")
+    keys = [x for x in ("start", "node") if x in starts.columns]
+    arcs = scratch.table(arcs.select("u", "v"), "arcs")
+    new, path = scratch.write(starts.select(*keys).distinct().withColumn("level", F.lit(0)), "new")
+    paths, schema, k = [path], new.schema, 0
+    while most is None or k < most:
+        k += 1
+        to = new.withColumnRenamed("node", "u").drop("level").join(arcs, "u").withColumnRenamed("v", "node").select(*keys).distinct()
+        new, path = scratch.write(to.join(scratch.union(paths, schema), keys, "left_anti").withColumn("level", F.lit(k)), "new")
         if new.isEmpty():
             break
-        seen, frontier = scratch.table(seen.unionByName(new), "seen"), new
-    return seen
+        paths.append(path)
+    return scratch.union(paths, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

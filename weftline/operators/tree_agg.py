@@ -18,9 +18,11 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 FAN_IN = 16
 #: States that one leaf node should hold.
-CHUNK_STATES = 50_000
+CHUNK_STATES = 4_096
 #: Values that a chunk's frequency sketch tracks; the error is rows / TRACKED at most.
 TRACKED = 4096
 
@@ -57,7 +59,8 @@ def tree_summary(df: DataFrame, a: str, b: str, order: str, fan_in: int = FAN_IN
     key have no result; a null partner counts as a row but not as a partner; a null position
     is passed over (null if all are). Repeated rows count each time. An empty table gives no rows.
     """
-    pairs = pair_states(df, a, b, order)
+    # written once: both sides read it
+    pairs = Scratch(df.sparkSession, "pairs").table(pair_states(df, a, b, order), "pairs")
     heavy = {0: heavy_keys(df.select(F.col(a).cast("long").alias(a)), a, chunk_states), 1: heavy_keys(df.select(F.col(b).cast("long").alias(b)), b, chunk_states)}
     depth = {(s, k): max(1, math.ceil(math.log(n / chunk_states, fan_in) + 1e-9)) for s, ks in heavy.items() for k, n in ks}
     levels = max(depth.values(), default=0)

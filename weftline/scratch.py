@@ -28,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="weftline-"))
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="weftline-")
+    return _LOCAL[app]
 
 
 class Scratch:
@@ -50,6 +52,10 @@ class Scratch:
     def table(self, df: DataFrame, tag: str = "t") -> DataFrame:
         return self.write(df, tag)[0]
 
+    def union(self, paths: list[str], schema) -> DataFrame:
+        """Tables of one schema written one after the other, read as one."""
+        return self.spark.read.schema(schema).parquet(*paths)
+
     def drop(self, path: str) -> None:
         """Delete a table that no later plan reads."""
         jvm = self.spark.sparkContext._jvm

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +27,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     for k, v in {**DEFAULTS, **conf}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        own = tempfile.mkdtemp(prefix="weftline-")  # local runs and tests only: a cluster names its shared folder
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", own)
+        spark.sparkContext.setCheckpointDir(own)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
