@@ -39,19 +39,17 @@ def link_groups(pairs: DataFrame, a: str, b: str, max_frontiers: int = MAX_FRONT
     n_edges = both.count()
     hubs = hot_keys(both, "u", n_edges)
 
-    # breadth-first from the vertex of highest degree
-    seen, seen_path = scratch.write(spark.createDataFrame([(top["u"],)], "u long"), "seen")
-    frontier, complete = seen, False
+    # breadth-first from the vertex of highest degree; each frontier is written once and never again
+    frontier, path = scratch.write(spark.createDataFrame([(top["u"],)], "u long"), "frontier")
+    paths, schema, complete = [path], frontier.schema, False
     for _ in range(max_frontiers):
         reached = join_unique(both, frontier, "u", hubs, "left_semi").select(F.col("v").alias("u")).distinct()
-        new = scratch.table(reached.join(seen, "u", "left_anti"), "frontier")
-        if new.isEmpty():
+        frontier, path = scratch.write(reached.join(scratch.union(paths, schema), "u", "left_anti"), "frontier")
+        if frontier.isEmpty():
             complete = True
             break
-        frontier = new
-        now, now_path = scratch.write(seen.unionByName(new), "seen")
-        scratch.drop(seen_path)
-        seen, seen_path = now, now_path
+        paths.append(path)
+    seen = scratch.union(paths, schema)
     low = seen.agg(F.min("u")).first()[0]
     giant = seen.select(F.lit(low).cast("long").alias("group_id"), F.col("u").alias("rid"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from . import components, count_sketch, leakage, packing, residue, rlz_spans, seen_filter, term_bitmaps
 
 
@@ -46,6 +47,15 @@ def p4_error(spark: SparkSession, d: str) -> DataFrame:
     return seen_filter.error_report(_t(spark, d, "minimizers"), "x", "mz_id")
 
 
+def p4_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p4_found by two batches: the second is answered from the stored filters of the first, whose keys it never reads."""
+    mz = _t(spark, d, "minimizers")
+    cut = mz.agg((F.min("mz_id") + F.expr("(max(mz_id) - min(mz_id)) * 2 div 3"))).first()[0] or 0
+    store = seen_filter.Store(spark, Scratch(spark, "filters").root)
+    first = seen_filter.seen_in_store(mz.where(F.col("mz_id") < cut), "x", "mz_id", store)[0]
+    return first.unionByName(seen_filter.seen_in_store(mz.where(F.col("mz_id") >= cut), "x", "mz_id", store)[0])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return components.link_groups(_t(spark, d, "paf"), "x_id", "y_id")
 
@@ -86,7 +96,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_kinds(spark, d).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hot_found, p1_long_found, p1_shared_share, p2_found, p2_terms, p4_found, p4_error, p5_found, p6_found, p6_ranked, p6_top, p7_pack, p7_summary, p8_found, p8_recall, p9_found, p9_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hot_found, p1_long_found, p1_shared_share, p2_found, p2_terms, p4_found, p4_error, p4_stored, p5_found, p6_found, p6_ranked, p6_top, p7_pack, p7_summary, p8_found, p8_recall, p9_found, p9_kinds)}
 
 _SPANS_OF = """
 WITH w AS (
@@ -124,6 +134,7 @@ FROM (SELECT rid AS x_id, coalesce(max(length(seq)), 0)::BIGINT AS n_letters FRO
 LEFT JOIN (SELECT x_id, sum(x_pos_e - x_pos_s) AS n FROM spans GROUP BY x_id) g USING (x_id)""",
     "p2_found": f"SELECT field_name, val, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
     "p2_terms": _TERMS,
+    "p4_stored": "SELECT mz_id FROM (SELECT mz_id, x, min(mz_id) OVER (PARTITION BY x) AS f FROM minimizers WHERE x IS NOT NULL) WHERE mz_id > f",
     "p4_found": "SELECT mz_id FROM (SELECT mz_id, x, min(mz_id) OVER (PARTITION BY x) AS f FROM minimizers WHERE x IS NOT NULL) WHERE mz_id > f",
     "p5_found": """
 WITH RECURSIVE e AS (
