@@ -117,12 +117,21 @@ def test_forms_do_not_count(spark):
     assert leakage.leaked_items(docs, items.where("false")).count() == 0
 
 
-def test_item_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 300)
-    ps = [" ".join(f"p{k}w{i}" for i in range(25)) for k in range(12)]
-    docs = spark.createDataFrame([(k, p, 0, "") for k, p in enumerate(ps)], D)
+def test_item_blocks_pass_by_one_scan(spark, monkeypatch, tmp_path):
+    """Twenty blocks of items and more: the corpus is read once, whatever is held at a time."""
+    ps = [" ".join(f"p{k}w{i}" for i in range(25)) for k in range(40)]
+    spark.createDataFrame([(k, p, 0, "") for k, p in enumerate(ps)], D).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
     items = spark.createDataFrame([(k, p, 0) for k, p in enumerate(ps)], I)
-    assert {tuple(r) for r in leakage.leaked_items(docs, items).collect()} == {(k, k) for k in range(12)}
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 300)
+    assert len(leakage.pack_items(list(enumerate(ps)))) >= 20
+    for held in (1, 10**6):
+        monkeypatch.setattr(leakage, "HELD_WORDS", held)
+        df = leakage.leaked_items(docs, items)
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        assert {tuple(r) for r in df.collect()} == {(k, k) for k in range(40)}
+    monkeypatch.setattr(leakage, "GROUP_CHARS", 2000)
+    assert {tuple(r) for r in leakage.leaked_items(docs, items).collect()} == {(k, k) for k in range(40)}
 
 
 def test_words():

@@ -5,12 +5,17 @@ item, beginning and ending with a kept word, with at most one word in six change
 or added.
 
 Every 20-word window of the items and of the documents gets a 64-bit SimHash; words that no
-item has weigh nothing. The item fingerprints (a fixed query set, handled in blocks of bounded
-size) are indexed by three blocks of bits: two fingerprints within Hamming radius 8 differ by
-at most 2 bits in one of the blocks, so a table per block that holds every item fingerprint
-under all its variants of up to 2 bits finds all of them with one look-up a block. Window
-pairs within the radius are verified by the weighted similarity of their words, and what is
-left by exact edit distance over all starts at once, which decides.
+item has weigh nothing. The unit that leaks is a stretch of 20 words, not the whole item, so
+that is the size of an item's windows. The item fingerprints (a fixed query set, handled in
+blocks of bounded size) are indexed by three blocks of bits: two fingerprints within Hamming
+radius 8 differ by at most 2 bits in one of the blocks, so a table per block that holds every
+item fingerprint under all its variants of up to 2 bits finds all of them with one look-up a
+block. Window pairs within the radius are verified by the exact similarity of their weighted
+two-word shingles, and what is left by exact edit distance over all starts at once, which
+decides.
+
+The corpus is read and cut into words once for GROUP_CHARS characters of items: workers
+hold a stretch of the corpus as word numbers and pass it by one block of items after another.
 
 Of a leak, one window with few edits is enough. ``exhaustive`` candidates, which share a run
 of four words (every leak has one), exist to measure what the radius loses.
@@ -19,6 +24,8 @@ of four words (every leak has one), exist to measure what the radius loses.
 from __future__ import annotations
 
 import hashlib
+import pickle
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +43,19 @@ MAX_WORDS = 2 * MIN_WORDS + PER_EDIT + 2
 LEAST_COVER = 8
 #: Of the first or the last MIN_WORDS words of any leak up to 2 * MIN_WORDS long at most 5 are lost, so this many occur near by.
 LEAST_PRESENT = MIN_WORDS - 5
-#: Characters of item text held in one index; larger sets are handled in blocks.
+#: Characters of item text held in one index; larger sets are handled in blocks, one after another.
 BLOCK_CHARS = 500_000
+#: Characters of item text that reach the driver and the workers for one scan of the corpus (compressed, a third of it or less).
+GROUP_CHARS = 64_000_000
+#: Words of the corpus that a worker holds while the blocks pass by, 4 bytes each.
+HELD_WORDS = 4_000_000
 #: Hamming radius that the bit blocks guarantee: 2 bits in one of three blocks.
 RADIUS = 8
 BIT_BLOCKS = ((0, 22), (22, 21), (43, 21))
-#: Words of a document window that must occur in the items at all, and the weighted similarity that a window pair needs.
+#: Words of a document window that must occur in the items at all, and the weighted similarity of two-word shingles that a
+#: window pair needs: three edits in 20 words leave 13 of 19 shingles, a shift of the window by as much again leaves 10.
 LEAST_KNOWN = 14
-SIMILARITY = 0.5
+SIMILARITY = 0.35
 
 
 class ItemIndex:
@@ -64,6 +76,7 @@ class ItemIndex:
         code = np.concatenate(code) if code else np.zeros(0, np.uint64)
         order = np.argsort(code, kind="stable")
         self.code, first = np.unique(code[order], return_index=True)
+        self.size = len(self.vocab) + 1
         self.first = np.append(first, len(code))
         self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int32)
         self.at = np.concatenate(at)[order] if at else np.zeros(0, np.int32)
@@ -187,12 +200,14 @@ def leaks(doc: np.ndarray, item: np.ndarray, d_lo: int, d_hi: int, i_lo: int, i_
     return False
 
 
-def _read(index: ItemIndex, texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of a batch of documents one after the other, and their offsets."""
-    known = index.vocab.get
+def cut_words(texts: list) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Word numbers of a batch of documents one after the other, their offsets, and the words."""
+    local: dict[str, int] = {}
+    number = local.setdefault
     lists = [words(t) for t in texts]
     off = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    return np.fromiter((known(x, 0) for ws in lists for x in ws), np.int64, int(off[-1])), off
+    flat = np.fromiter((number(x, len(local)) for ws in lists for x in ws), np.int32, int(off[-1]))
+    return flat, off, list(local)
 
 
 def near_windows(index: SimIndex, w: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -225,8 +240,10 @@ def near_windows(index: SimIndex, w: np.ndarray, off: np.ndarray) -> tuple[np.nd
     span = np.arange(MIN_WORDS)
     for lo in range(0, len(a), 16384):
         x, y = w[at[a[lo : lo + 16384], None] + span], index.flat[index.win_flat[b[lo : lo + 16384], None] + span]
+        weight = index.weight[y[:, 1:]] + index.weight[y[:, :-1]]
+        x = np.where((x[:, 1:] > 0) & (x[:, :-1] > 0), x[:, 1:] * index.size + x[:, :-1], -1)
+        y = y[:, 1:] * index.size + y[:, :-1]
         there = (x[:, None, :] == y[:, :, None]).any(axis=2)
-        weight = index.weight[y]
         keep[lo : lo + 16384] = (weight * there).sum(axis=1) >= SIMILARITY * weight.sum(axis=1)
     a, b = a[keep], b[keep]
     return d[a], at[a] - off[d[a]], index.win_item[b], index.win_pos[b]
@@ -252,7 +269,12 @@ def shared_runs(index: ItemIndex, w: np.ndarray, off: np.ndarray) -> tuple[np.nd
 
 def _search(index: ItemIndex, doc_ids: list, texts: list, exhaustive: bool = False) -> tuple[list, list]:
     """(doc, item) pairs of a batch of documents."""
-    w, off = _read(index, texts)
+    return _search_words(index, doc_ids, *cut_words(texts), exhaustive)
+
+
+def _search_words(index: ItemIndex, doc_ids: list, flat: np.ndarray, off: np.ndarray, vocab: list[str], exhaustive: bool = False) -> tuple[list, list]:
+    known = index.vocab.get
+    w = np.fromiter((known(x, 0) for x in vocab), np.int64, len(vocab))[flat]
     d, p, item, q = shared_runs(index, w, off) if exhaustive else near_windows(index, w, off)
     if not len(d):
         return [], []
@@ -285,6 +307,34 @@ def _search(index: ItemIndex, doc_ids: list, texts: list, exhaustive: bool = Fal
     return [doc_ids[k] for k, _ in done], [int(index.ids[i]) for _, i in done]
 
 
+def pack_items(rows: list[tuple[int, str]]) -> list[bytes]:
+    """Items in blocks of about BLOCK_CHARS characters, compressed; an item is never cut."""
+    blocks, held, size = [], [], 0
+    for i, t in rows:
+        if held and size + len(t) > BLOCK_CHARS:
+            blocks.append(held)
+            held, size = [], 0
+        held.append((i, t))
+        size += len(t)
+    return [zlib.compress(pickle.dumps(b)) for b in [*blocks, held] if b]
+
+
+def unpack_items(block: bytes) -> list[tuple[int, str]]:
+    return pickle.loads(zlib.decompress(block))
+
+
+#: The index that this worker used last: with one block it is made once a worker.
+_LAST: dict[tuple, ItemIndex] = {}
+
+
+def _index(blocks: list[bytes], n: int, exhaustive: bool) -> ItemIndex:
+    key = (len(blocks), hash(blocks[n]), exhaustive)
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = (ItemIndex if exhaustive else SimIndex)(unpack_items(blocks[n]))
+    return _LAST[key]
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text", exhaustive: bool = False) -> DataFrame:
     """doc_id, item_id of every document that leaks an item, once each.
 
@@ -292,27 +342,43 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: s
     don't count. Items that share a passage are each reported. Null and empty texts, texts
     under 20 words, null ids and empty tables give no rows.
     """
+    spark = docs.sparkSession
     it = items.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).alias("t")).where("item_id is not null and t is not null")
     chars = it.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-chars // BLOCK_CHARS))
+    groups = max(1, -(-chars // GROUP_CHARS))
     src = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("t")).where("doc_id is not null and t is not null and length(t) >= 20")
     out = None
-    for b in range(blocks):
-        part = it.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()  # at most about BLOCK_CHARS
-        made = [(r["item_id"], r["t"]) for r in part]
-        index = src.sparkSession.sparkContext.broadcast(ItemIndex(made) if exhaustive else SimIndex(made))
+    for g in range(groups):
+        part = it.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).orderBy("item_id").collect()  # about GROUP_CHARS at most
+        packed = pack_items([(r["item_id"], r["t"]) for r in part])
+        if not packed:
+            continue
+        blocks = spark.sparkContext.broadcast(packed)
+
+        def run(batches, blocks=blocks):
+            held, size = [], 0
+
+            def search():
+                for n in range(len(blocks.value)):
+                    index = _index(blocks.value, n, exhaustive)
+                    for ids, *cut in held if len(index.code) else ():
+                        d, i = _search_words(index, ids, *cut, exhaustive)
+                        if d:
+                            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64())], names=["doc_id", "item_id"])
 
-        def run(batches, index=index):
             for x in batches:
                 for lo in range(0, x.num_rows, 512):
                     y = x.slice(lo, 512)
-                    d, i = _search(index.value, y.column(0).to_pylist(), y.column(1).to_pylist(), exhaustive) if len(index.value.code) else ([], [])
-                    if d:
-                        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64())], names=["doc_id", "item_id"])
+                    held.append((y.column(0).to_pylist(), *cut_words(y.column(1).to_pylist())))
+                    size += len(held[-1][1])
+                    if size >= HELD_WORDS or len(blocks.value) == 1:  # nothing is gained by holding words for a single block
+                        yield from search()
+                        held, size = [], 0
+            yield from search()
 
         found = src.mapInArrow(run, "doc_id long, item_id long")
         out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    return spark.createDataFrame([], "doc_id long, item_id long") if out is None else out.distinct()
 
 
 def recall(docs: DataFrame, items: DataFrame) -> DataFrame:
