@@ -5,6 +5,7 @@ import random
 from weftline.kernels import consensus
 from weftline.operators import graph as G
 from weftline.plans import advanced
+from weftline.plans import consensus as votes
 
 PAF = "x_id long, x_pos_s long, x_pos_e long, x_pos_strand int, y_id long, y_pos_s long, y_pos_e long, y_pos_strand int, match_len long, total_len long"
 
@@ -28,11 +29,11 @@ def test_range_consensus_inside_a_record(spark, tmp_path):
     good = text(120)
     bad = put(good, 80, "A" if good[80] != "A" else "C")
     d = folder(spark, tmp_path, [bad] + [good] * 3, [(0, 10, 120, t, 10) for t in (1, 2, 3)])
-    assert [tuple(r) for r in advanced.ecc02_range_consensus(spark, d).where("rid = 0").collect()] == [(0, 75, 86, good[75:86], 1)]
+    assert [tuple(r) for r in votes.ecc02_range_consensus(spark, d).where("rid = 0").collect()] == [(0, 75, 86, good[75:86], 1)]
     # a match that ends inside the run of disputed columns: both parts are seen with all their matches
     worse = put(bad, 84, "A" if good[84] != "A" else "C")
     d = folder(spark, tmp_path / "b", [worse] + [good] * 4, [(0, 10, 120, t, 10) for t in (1, 2, 3)] + [(0, 10, 83, 4, 10)])
-    got = {tuple(r) for r in advanced.ecc02_range_consensus(spark, d).where("rid = 0").collect()}
+    got = {tuple(r) for r in votes.ecc02_range_consensus(spark, d).where("rid = 0").collect()}
     assert got == {(0, 75, 83, good[75:83], 1), (0, 83, 90, good[83:90], 1)}
 
 

@@ -8,11 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from ..kernels import align, chain, consensus, maxcut
+from ..kernels import align, chain, maxcut, scripts
 from ..operators import graph as G
 from ..operators import kmers as K
 from ..options import Options
-from .common import EDGES, OVERLAPS, READS, Registry, edges, overlaps, reads
+from .common import EDGES, OVERLAPS, READS, Registry, edges, overlaps, reads, spread
 from .kmers import _ALL, KLEN, seed_hits
 from .relational import _CONT, containers
 from .scalar import SPANS, spans
@@ -23,11 +23,6 @@ c = F.col
 # --- alignment --------------------------------------------------------------
 
 
-def spread(df):
-    """Even partitions in front of a kernel, whose cost lies in rows and not in bytes."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 @q(f"WITH {SPANS} SELECT qn, tn, qs, ts, rev, CASE WHEN levenshtein(qseq, tseq) <= 12 THEN levenshtein(qseq, tseq)::INTEGER ELSE -1 END AS dist FROM spans")
 def aln01_edit_distance(spark, d):
     return spans(spark, d).select("qn", "tn", "qs", "ts", "rev", F.levenshtein("qseq", "tseq", 12).alias("dist"))
@@ -38,14 +33,15 @@ def aln02_trace(spark, d):
     """Edit scripts of all matches (ALN-02, SCA-16, SCA-17): errors, and whether applying the coded script gives the target."""
 
     @F.pandas_udf("n_edit int, rebuilt boolean")
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    def run(a: pd.Series, b: pd.Series, dist: pd.Series) -> pd.DataFrame:
         out = []
-        for x, y in zip(a, b):
-            s = align.decode_script(align.encode_script(align.script(x, y)))
+        for x, y, ops in zip(a, b, scripts.scripts(a.tolist(), b.tolist(), dist.tolist())):
+            s = align.decode_script(align.encode_script(scripts.runs(ops)))
             out.append((align.errors(s), align.apply_script(x, y, s) == y))
         return pd.DataFrame(out, columns=["n_edit", "rebuilt"])
 
-    return spread(spans(spark, d)).withColumn("r", run("qseq", "tseq")).select("qn", "tn", "qs", "ts", "rev", "r.n_edit", "r.rebuilt")
+    t = spans(spark, d).withColumn("d", F.levenshtein("qseq", "tseq"))
+    return t.withColumn("r", run("qseq", "tseq", "d")).select("qn", "tn", "qs", "ts", "rev", "r.n_edit", "r.rebuilt")
 
 
 @q()
@@ -113,10 +109,11 @@ def aln08_windows(spark, d):
 @q()
 def aln10_longest_exact(spark, d):
     @F.pandas_udf("s int, n int")
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([align.longest_exact(align.script(x, y)) for x, y in zip(a, b)], columns=["s", "n"])
+    def run(a: pd.Series, b: pd.Series, dist: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([align.longest_exact(scripts.runs(o)) for o in scripts.scripts(a.tolist(), b.tolist(), dist.tolist())], columns=["s", "n"])
 
-    return spread(spans(spark, d)).withColumn("r", run("qseq", "tseq")).select("qn", "tn", "qs", "ts", "rev", "r.*")
+    t = spans(spark, d).withColumn("d", F.levenshtein("qseq", "tseq"))
+    return t.withColumn("r", run("qseq", "tseq", "d")).select("qn", "tn", "qs", "ts", "rev", "r.*")
 
 
 # --- chaining ---------------------------------------------------------------
@@ -158,117 +155,7 @@ def win08_increasing(spark, d):
     return t.withColumn("weight", F.round(c("lis") - 0.2 * (c("n") - c("lis")), 6))
 
 
-# --- consensus --------------------------------------------------------------
-
-_COLS = f"""{SPANS}, even AS (SELECT qn, tn, qs, ts, qseq, tseq FROM spans WHERE qn <> tn AND length(qseq) = length(tseq)),
-votes AS (SELECT qn AS rid, (qs + i - 1)::BIGINT AS col, qseq[i] AS own, tseq[i] AS base, count(*)::BIGINT AS n FROM (SELECT *, unnest(range(1, length(qseq) + 1)) AS i FROM even) GROUP BY ALL),
-cols AS (SELECT rid, col, max(own) AS own, sum(n) + 1 AS n, sum(CASE WHEN base = own THEN n ELSE 0 END) + 1 AS m FROM votes GROUP BY rid, col),
-open_cols AS (SELECT rid, col, own, n, m FROM cols WHERE NOT (n < 3 OR (m > 1 AND m > 0.500001 * n AND m > n - m)))"""
-
-
-def votes(spark, d):
-    """rid, col, own, base, n: letters that ungapped matches put on each column of a record, combined before the shuffle."""
-    t = spans(spark, d).where("qn <> tn and length(qseq) = length(tseq) and length(qseq) > 0")
-    t = t.select(c("qn").alias("rid"), "qs", F.posexplode(F.arrays_zip(F.split("qseq", "").alias("o"), F.split("tseq", "").alias("b"))).alias("i", "x"))
-    t = t.select("rid", (c("qs") + c("i")).alias("col"), c("x.o").alias("own"), c("x.b").alias("base")).where("own <> '' and base <> ''")
-    return t.groupBy("rid", "col", "own", "base").agg(F.count(F.lit(1)).alias("n"))
-
-
-def open_columns(v):
-    """Columns whose own letter does not win: n voters and m agreeing, the record counted in both."""
-    t = v.groupBy("rid", "col").agg(F.max("own").alias("own"), (F.sum("n") + 1).alias("n"), (F.sum(F.when(c("base") == c("own"), c("n")).otherwise(0)) + 1).alias("m"))
-    return t.where("not (n < 3 or (m > 1 and m > 0.500001 * n and m > n - m))")
-
-
-@q(f"WITH {_COLS} SELECT rid, col, own, n::BIGINT AS n, m::BIGINT AS m FROM open_cols")
-def agg13_open_columns(spark, d):
-    return open_columns(votes(spark, d))
-
-
-_SITES = f"{_COLS}, alt AS (SELECT rid, col, base, n FROM votes WHERE base <> own AND n >= 2), sites AS (SELECT rid, col, max(n) AS occ1 FROM alt GROUP BY ALL)"
-
-
-@q(f"WITH {_SITES} SELECT e.qn AS rid, s.col, e.tn, e.ts, CASE WHEN e.qseq[(s.col - e.qs + 1)::INTEGER] = e.tseq[(s.col - e.qs + 1)::INTEGER] THEN 0 ELSE 1 END AS allele FROM even e JOIN sites s ON s.rid = e.qn AND s.col >= e.qs AND s.col < e.qs + length(e.qseq)")
-def agg14_pileup(spark, d):
-    """Long pile-up: site, match and allele (0 own letter, 1 other) for columns with an other letter seen twice."""
-    from ..operators import intervals as I
-
-    v = votes(spark, d)
-    sites = v.where("base <> own and n >= 2").select("rid", "col").distinct()
-    e = spans(spark, d).where("qn <> tn and length(qseq) = length(tseq) and length(qseq) > 0").select(c("qn").alias("rid"), "tn", "qs", "qe", "ts", "qseq", "tseq")
-    j = I.point_join(sites, e, "rid", "col", "qs", "qe")
-    at = "cast(col - qs + 1 as int), 1)"
-    return j.select("rid", "col", "tn", "ts", F.expr(f"case when substr(qseq, {at} = substr(tseq, {at} then 0 else 1 end").alias("allele"))
-
-
-@q(f"WITH {_SITES}, o AS (SELECT s.rid, s.col, s.occ1, sum(CASE WHEN v.base = v.own THEN v.n ELSE 0 END) + 1 AS occ0, sum(v.n) + 1 AS total FROM sites s JOIN votes v ON v.rid = s.rid AND v.col = s.col GROUP BY ALL) SELECT rid, col, occ0::BIGINT AS occ0, occ1::BIGINT AS occ1, total::BIGINT AS total, least(occ0, occ1) / (occ0 + occ1) > 0.3 AS shared_site, (least(occ0, occ1) / (occ0 + occ1) >= 0.35 AND occ0 >= 4 AND total >= 10) AS single_site FROM o")
-def sca20_snp_sites(spark, d):
-    """Two-letter sites with the share tests for shared and for single sites (SCA-20)."""
-    v = votes(spark, d)
-    t = v.groupBy("rid", "col").agg(
-        F.max(F.when((c("base") != c("own")) & (c("n") >= 2), c("n"))).alias("occ1"), (F.sum(F.when(c("base") == c("own"), c("n")).otherwise(0)) + 1).alias("occ0"), (F.sum("n") + 1).alias("total")
-    ).where("occ1 is not null")
-    share = F.least("occ0", "occ1") / (c("occ0") + c("occ1"))
-    return t.select("rid", "col", "occ0", "occ1", "total", (share > 0.3).alias("shared_site"), ((share >= 0.35) & (c("occ0") >= 4) & (c("total") >= 10)).alias("single_site"))
-
-
-_FIX = f"{_COLS}, fix AS (SELECT rid, col, base FROM (SELECT v.rid, v.col, v.base, row_number() OVER (PARTITION BY v.rid, v.col ORDER BY v.n DESC, v.base) AS k FROM votes v SEMI JOIN open_cols o ON o.rid = v.rid AND o.col = v.col WHERE v.base <> v.own) WHERE k = 1)"
-
-
-@q(f"WITH {_FIX}, l AS (SELECT rid, i - 1 AS col, seq[i] AS ch FROM (SELECT rid, seq, unnest(range(1, len + 1)) AS i FROM reads SEMI JOIN fix USING (rid))) SELECT l.rid, string_agg(coalesce(f.base, l.ch), '' ORDER BY l.col) AS seq, count(f.base)::INTEGER AS n_changed FROM l LEFT JOIN fix f ON f.rid = l.rid AND f.col = l.col GROUP BY l.rid")
-def ecc04_apply(spark, d):
-    """Records with the most voted other letter put into each open column (ECC-01 to ECC-04 without indels)."""
-    v = votes(spark, d)
-    o = open_columns(v).select("rid", "col")
-    best = v.join(o, ["rid", "col"], "left_semi").where("base <> own").groupBy("rid", "col").agg(F.min_by("base", F.struct(-c("n"), "base")).alias("base"))
-    fix = best.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("col", "base"))).alias("f"))  # at most one entry a letter of the record
-
-    @F.pandas_udf("string")
-    def run(seq: pd.Series, cols: pd.Series, bases: pd.Series) -> pd.Series:
-        out = []
-        for s, at, b in zip(seq, cols, bases):
-            x = np.array(list(s))
-            x[np.asarray(at)] = np.asarray(b)
-            out.append("".join(x))
-        return pd.Series(out)
-
-    t = reads(spark, d).join(fix, "rid")
-    return t.select("rid", run("seq", "f.col", "f.base").alias("seq"), F.size("f").alias("n_changed"))
-
-
-#: Settled letters kept at either side of a disputed range; ranges whose margins meet are one.
-MARGIN = 5
-
-
-def disputed_ranges(cols, m):
-    """rid, s, e: runs of open columns with their margins, cut where a match (rid, qs, qe) starts or ends, so that a match covers a range whole or not at all."""
-    cut = m.select("rid", c("qs").alias("col")).unionByName(m.select("rid", c("qe").alias("col"))).distinct().withColumn("cut", c("col"))
-    t = cut.unionByName(cols.select("rid", "col"), allowMissingColumns=True)
-    w = Window.partitionBy("rid").orderBy("col", F.desc_nulls_last("cut"))
-    t = t.withColumn("lo", F.max("cut").over(w)).withColumn("hi", F.min("cut").over(w.rowsBetween(0, Window.unboundedFollowing))).where("cut is null")
-    w = Window.partitionBy("rid", "lo").orderBy("col")
-    t = t.withColumn("new", F.coalesce(c("col") - F.lag("col").over(w) > 2 * MARGIN, F.lit(True)).cast("int")).withColumn("k", F.sum("new").over(w))
-    return t.groupBy("rid", "lo", "hi", "k").agg(F.min("col").alias("a"), F.max("col").alias("b")).select("rid", F.greatest(c("a") - MARGIN, "lo").alias("s"), F.least(c("b") + MARGIN + 1, "hi").alias("e"))
-
-
-@q()
-def ecc02_range_consensus(spark, d):
-    """Partial-order consensus of every disputed range of a record over all ungapped matches that cover it (ECC-02)."""
-    from ..operators import intervals as I
-
-    m = spans(spark, d).where("qn <> tn and length(qseq) = length(tseq) and length(qseq) > 0")
-    m = m.select(c("qn").alias("rid"), "qs", (c("qs") + F.length("qseq")).alias("qe"), "qseq", "tseq")
-    at = lambda x: F.expr(f"substr({x}, cast(s - qs + 1 as int), cast(e - s as int))")
-    j = I.point_join(disputed_ranges(open_columns(votes(spark, d)), m.select("rid", "qs", "qe")), m, "rid", "s", "qs", "qe")
-    # texts of a range repeat: count them before they travel; the graph takes each once with its number as weight
-    n = j.select("rid", "s", "e", at("qseq").alias("own"), at("tseq").alias("alt")).groupBy("rid", "s", "e", "own", "alt").agg(F.count(F.lit(1)).alias("n"))
-    g = n.groupBy("rid", "s", "e", "own").agg(F.sort_array(F.collect_list(F.struct("alt", "n"))).alias("g"))
-
-    @F.pandas_udf("string")
-    def run(own: pd.Series, alts: pd.Series, counts: pd.Series) -> pd.Series:
-        return pd.Series([consensus.consensus([o, *a], [1, *(int(k) for k in m)]) for o, a, m in zip(own, alts, counts)])
-
-    return spread(g).select("rid", "s", "e", run("own", "g.alt", "g.n").alias("text"), F.size("g").alias("n_texts"))
+# --- strands and chimeras ----------------------------------------------------
 
 
 @q(f"WITH {OVERLAPS} SELECT qn, tn, ql - qe AS qs, ql - qs AS qe, tl - te AS ts, tl - ts AS te, rev FROM ovl")

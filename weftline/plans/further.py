@@ -9,13 +9,11 @@ from pyspark.sql import functions as F
 from ..functions import seq as S
 from ..operators import graph as G
 from ..operators import kmers as K
-from ..sources import sinks as T
-from .advanced import _COLS, _SITES, agg14_pileup, open_columns, sca20_snp_sites, spread, votes
-from .common import OVERLAPS, READS, SEEDS, Registry, overlaps, reads, seeds
+from .common import OVERLAPS, READS, SEEDS, Registry, overlaps, reads, seeds, spread
 from .graph import _ARCS, arcs
 from .kmers import _ALL, KLEN, _HITS, placed, seed_hits
 from .relational import _SWEEP, depth
-from .scalar import ARC_SQL, SPANS, _sql_hash64, spans
+from .scalar import ARC_SQL, _sql_hash64
 
 q = Registry()
 c = F.col
@@ -66,35 +64,6 @@ def kmr05_thinning(spark, d):
     return spread(t).select("rid", F.explode(run("m.pos")).alias("pos"))
 
 
-@q(f"WITH {SPANS} SELECT concat_ws(chr(9), a.name, CASE WHEN s.rev = 1 THEN 16 ELSE 0 END, b.name, s.ts + 1, 255, length(qseq) || 'M', '*', 0, 0, qseq, '*') AS value FROM spans s JOIN reads a ON a.rid = s.qn JOIN reads b ON b.rid = s.tn WHERE length(qseq) = length(tseq)")
-def snk07_sam(spark, d):
-    n = reads(spark, d).select("rid", "name")
-    t = spans(spark, d).where("length(qseq) = length(tseq)").withColumn("cigar", F.concat(F.length("qseq"), F.lit("M")))
-    t = t.join(n.select(c("rid").alias("qn"), c("name").alias("qname")), "qn").join(n.select(c("rid").alias("tn"), c("name").alias("tname")), "tn")
-    return T.sam(t)
-
-
-@q(f"WITH {_SITES} SELECT rid, count(*)::BIGINT AS n_het FROM (SELECT s.rid, s.col, s.occ1, sum(CASE WHEN v.base = v.own THEN v.n ELSE 0 END) + 1 AS occ0 FROM sites s JOIN votes v ON v.rid = s.rid AND v.col = s.col GROUP BY ALL) WHERE least(occ0, occ1) / (occ0 + occ1) > 0.3 GROUP BY rid")
-def snk10_het_counts(spark, d):
-    return sca20_snp_sites(spark, d).where("shared_site").groupBy("rid").agg(F.count(F.lit(1)).alias("n_het"))
-
-
-@q(f"WITH {_SITES}, p AS (SELECT e.qn AS rid, e.tn, e.ts, CASE WHEN e.qseq[(s.col - e.qs + 1)::INTEGER] = e.tseq[(s.col - e.qs + 1)::INTEGER] THEN 0 ELSE 1 END AS allele FROM even e JOIN sites s ON s.rid = e.qn AND s.col >= e.qs AND s.col < e.qs + length(e.qseq)) SELECT rid, tn, ts, count(*)::BIGINT AS n_sites, sum(allele)::BIGINT AS n_other, CASE WHEN sum(allele) * 3 > count(*) THEN 2 ELSE 1 END AS is_match FROM p GROUP BY rid, tn, ts")
-def agg15_is_match(spark, d):
-    """Cis (1) or trans (2) by the letters at shared sites: trans if more than a third are the other letter."""
-    p = agg14_pileup(spark, d).groupBy("rid", "tn", "ts").agg(F.count(F.lit(1)).alias("n_sites"), F.sum(c("allele").cast("long")).alias("n_other"))
-    return p.withColumn("is_match", F.when(c("n_other") * 3 > c("n_sites"), 2).otherwise(1))
-
-
-@q(f"WITH {_COLS} SELECT c.rid, count(*)::BIGINT AS n_cols, count(o.col)::BIGINT AS n_open, count(o.col) = 0 AS settled FROM cols c LEFT JOIN open_cols o ON o.rid = c.rid AND o.col = c.col GROUP BY c.rid")
-def ecc07_settled(spark, d):
-    """Records whose covered columns are all settled."""
-    v = votes(spark, d)
-    o = open_columns(v).select("rid", "col", F.lit(1).alias("o"))
-    t = v.select("rid", "col").distinct().join(o, ["rid", "col"], "left").groupBy("rid").agg(F.count(F.lit(1)).alias("n_cols"), F.count("o").alias("n_open"))
-    return t.withColumn("settled", c("n_open") == 0)
-
-
 _WIDE = f"{_ARCS}, wide AS (SELECT u, v, max(ol) AS ol FROM ({ARC_SQL.format(src='sym').replace('0.8 *', '0.15 *')}) WHERE kind = 'ARC' GROUP BY u, v)"
 
 
