@@ -12,7 +12,7 @@ from ..kernels import align, chain, maxcut, scripts
 from ..operators import graph as G
 from ..operators import kmers as K
 from ..options import Options
-from .common import EDGES, OVERLAPS, READS, Registry, edges, overlaps, reads, spread
+from .common import EDGES, OVERLAPS, READS, RUNS, Registry, edges, overlaps, reads, runs, spread
 from .kmers import _ALL, KLEN, seed_hits
 from .relational import _CONT, containers
 from .scalar import SPANS, spans
@@ -177,19 +177,19 @@ def ecc09_chimera_filter(spark, d):
 # --- parental classes -------------------------------------------------------
 
 _FLAG = "CASE WHEN cnt >= 5 THEN 2 WHEN cnt >= 2 THEN 1 END"
-_MARK = f"""{_ALL}, pat AS (SELECT kmer, {_FLAG} AS p FROM (SELECT kmer, least(count(*), 1023) AS cnt FROM kmers WHERE rid % 3 = 0 GROUP BY kmer) WHERE cnt >= 2), mat AS (SELECT kmer, {_FLAG} AS m FROM (SELECT kmer, least(count(*), 1023) AS cnt FROM kmers WHERE rid % 3 = 1 GROUP BY kmer) WHERE cnt >= 2),
+_MARK = f"""{_ALL}, {RUNS}, pat AS (SELECT kmer, {_FLAG} AS p FROM (SELECT kmer, least(count(*), 1023) AS cnt FROM kmers JOIN runs USING (rid) WHERE place = 1 GROUP BY kmer) WHERE cnt >= 2), mat AS (SELECT kmer, {_FLAG} AS m FROM (SELECT kmer, least(count(*), 1023) AS cnt FROM kmers JOIN runs USING (rid) WHERE place = 2 GROUP BY kmer) WHERE cnt >= 2),
 flags AS (SELECT kmer, coalesce(p, 0) AS p, coalesce(m, 0) AS m FROM pat FULL JOIN mat USING (kmer))"""
 
 
 def parent_flags(spark, d):
-    """code, p, m: k-mer classes of the two parental dumps (records 0 and 1 modulo 3): 2 frequent, 1 seen, 0 absent."""
-    r = reads(spark, d)
+    """code, p, m: k-mer classes of the two parental dumps (the records of the two largest runs): 2 frequent, 1 seen, 0 absent."""
+    r, run = reads(spark, d), runs(spark, d)
 
     def side(k: int, name: str):
-        t = K.kmer_counts(r.where(f"rid % 3 = {k}"), KLEN, saturate=K.PARENT_MAX).where("cnt >= 2")
+        t = K.kmer_counts(r.join(run.where(c("place") == k), "rid", "left_semi"), KLEN, saturate=K.PARENT_MAX).where("cnt >= 2")
         return t.select("code", F.when(c("cnt") >= 5, 2).otherwise(1).alias(name))
 
-    return side(0, "p").join(side(1, "m"), "code", "full").select("code", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("m", F.lit(0)).alias("m"))
+    return side(1, "p").join(side(2, "m"), "code", "full").select("code", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("m", F.lit(0)).alias("m"))
 
 
 @q(f"WITH {_MARK} SELECT kmer, p, m, (p | (m << 2))::INTEGER AS flag FROM flags")
@@ -198,22 +198,23 @@ def src05_parent_flags(spark, d):
     return f.select(K.decode(c("code"), KLEN).alias("kmer"), "p", "m", "flag")
 
 
-_TRIO = f"""{_MARK}, hit AS (SELECT k.rid, k.pos, CASE WHEN f.p = 2 AND f.m = 0 THEN 1 WHEN f.m = 2 AND f.p = 0 THEN 2 ELSE 0 END AS typ FROM kmers k JOIN flags f USING (kmer) WHERE k.rid % 3 = 2),
+_TRIO = f"""{_MARK}, hit AS (SELECT k.rid, k.pos, CASE WHEN f.p = 2 AND f.m = 0 THEN 1 WHEN f.m = 2 AND f.p = 0 THEN 2 ELSE 0 END AS typ FROM kmers k JOIN flags f USING (kmer)),
 n AS (SELECT rid, count_if(typ = 1)::BIGINT AS n_p, count_if(typ = 2)::BIGINT AS n_m FROM hit GROUP BY rid),
 g AS (SELECT rid, typ, pos - row_number() OVER (PARTITION BY rid, typ ORDER BY pos) AS g FROM hit WHERE typ > 0), r AS (SELECT rid, typ, count(*) AS len FROM g GROUP BY rid, typ, g HAVING count(*) >= {KLEN - 4}),
 rr AS (SELECT rid, coalesce(sum(CASE WHEN typ = 1 THEN len END), 0)::BIGINT AS run_p, coalesce(sum(CASE WHEN typ = 2 THEN len END), 0)::BIGINT AS run_m FROM r GROUP BY rid),
-trio AS (SELECT n.rid, n_p, n_m, coalesce(run_p, 0)::BIGINT AS run_p, coalesce(run_m, 0)::BIGINT AS run_m FROM n LEFT JOIN rr USING (rid))"""
+trio AS (SELECT r.rid, coalesce(n_p, 0)::BIGINT AS n_p, coalesce(n_m, 0)::BIGINT AS n_m, coalesce(run_p, 0)::BIGINT AS run_p, coalesce(run_m, 0)::BIGINT AS run_m FROM reads r LEFT JOIN n USING (rid) LEFT JOIN rr USING (rid))"""
 
 
 def trio_counts(spark, d):
-    pos = K.kmer_positions(reads(spark, d).where("rid % 3 = 2"), KLEN)
+    pos = K.kmer_positions(reads(spark, d), KLEN)
     typ = F.when((c("p") == 2) & (c("m") == 0), 1).when((c("m") == 2) & (c("p") == 0), 2).otherwise(0)
     h = pos.join(parent_flags(spark, d), "code").select("rid", "pos", typ.alias("typ"))
     n = h.groupBy("rid").agg(F.count_if(c("typ") == 1).alias("n_p"), F.count_if(c("typ") == 2).alias("n_m"))
     g = h.where("typ > 0").withColumn("g", c("pos") - F.row_number().over(Window.partitionBy("rid", "typ").orderBy("pos")))
     r = g.groupBy("rid", "typ", "g").agg(F.count(F.lit(1)).alias("len")).where(f"len >= {KLEN - 4}")
     rr = r.groupBy("rid").agg(F.coalesce(F.sum(F.when(c("typ") == 1, c("len"))), F.lit(0)).alias("run_p"), F.coalesce(F.sum(F.when(c("typ") == 2, c("len"))), F.lit(0)).alias("run_m"))
-    return n.join(rr, "rid", "left").select("rid", "n_p", "n_m", F.coalesce("run_p", F.lit(0)).alias("run_p"), F.coalesce("run_m", F.lit(0)).alias("run_m"))
+    every = reads(spark, d).select("rid").join(n, "rid", "left").join(rr, "rid", "left")
+    return every.select("rid", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("n_p", "n_m", "run_p", "run_m")])
 
 
 @q(f"WITH {_TRIO} SELECT * FROM trio")
@@ -224,22 +225,25 @@ def agg16_trio_counts(spark, d):
 _K4 = KLEN - 4
 
 
-@q(f"""WITH {_TRIO} SELECT rid, CASE WHEN run_p = 0 AND run_m = 0 THEN CASE WHEN n_p >= n_m + {_K4} AND (n_m <= 1 OR n_p * 0.05 > n_m) THEN 'p' WHEN n_m >= n_p + {_K4} AND (n_p <= 1 OR n_m * 0.05 > n_p) THEN 'm' ELSE '0' END
-WHEN run_p > {KLEN} AND run_m > {KLEN} THEN 'a' WHEN run_p >= run_m + {_K4} AND run_p * 0.05 >= run_m AND n_p * 0.33 > n_m THEN 'p' WHEN run_m >= run_p + {_K4} AND run_m * 0.05 >= run_p AND n_m * 0.33 > n_p THEN 'm' ELSE 'a' END AS cls FROM trio""")
+TRIO_CLASS = f"""{_TRIO}, cls AS (SELECT rid, CASE WHEN run_p = 0 AND run_m = 0 THEN CASE WHEN n_p >= n_m + {_K4} AND (n_m <= 1 OR n_p * 0.05 > n_m) THEN 'p' WHEN n_m >= n_p + {_K4} AND (n_p <= 1 OR n_m * 0.05 > n_p) THEN 'm' ELSE '0' END
+WHEN run_p > {KLEN} AND run_m > {KLEN} THEN 'a' WHEN run_p >= run_m + {_K4} AND run_p * 0.05 >= run_m AND n_p * 0.33 > n_m THEN 'p' WHEN run_m >= run_p + {_K4} AND run_m * 0.05 >= run_p AND n_m * 0.33 > n_p THEN 'm' ELSE 'a' END AS cls FROM trio)"""
+
+
+@q(f"WITH {TRIO_CLASS} SELECT rid, cls FROM cls")
 def sca13_trio_class(spark, d):
     return trio_counts(spark, d).select("rid", S.trio_class(c("run_p"), c("run_m"), c("n_p"), c("n_m"), KLEN).alias("cls"))
 
 
-_TOK = "(SELECT string_split(read_name, '/')[1] AS name, 1 AS flag FROM control_reads UNION ALL SELECT read_name, 2 FROM kseq_reads WHERE rid % 5 = 0)"
+_TOK = "(SELECT string_split(read_name, '/')[1] AS name, 1 AS flag FROM control_reads UNION ALL SELECT read_name, 2 FROM kseq_reads WHERE read_name IS NOT NULL GROUP BY read_name HAVING count(*) > 1)"
 
 
 @q(f"WITH {READS}, l AS (SELECT name, max(flag)::INTEGER AS flag FROM {_TOK} GROUP BY name) SELECT r.rid, coalesce(l.flag, 0)::INTEGER AS trio_flag FROM reads r LEFT JOIN l ON l.name = r.name")
 def src06_name_lists(spark, d):
-    """Flags from name lists; names that no record has are passed over, a later list wins."""
+    """Flags from name lists (the spiked names, the names delivered more than once); names that no record has are passed over, a later list wins."""
     from .common import table
 
     a = table(spark, d, "control_reads").select(F.element_at(F.split("read_name", "/"), 1).alias("name"), F.lit(1).alias("flag"))
-    b = table(spark, d, "kseq_reads").where("rid % 5 = 0").select(c("read_name").alias("name"), F.lit(2).alias("flag"))
+    b = table(spark, d, "kseq_reads").where("read_name is not null").groupBy(c("read_name").alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", F.lit(2).alias("flag"))
     lists = a.unionByName(b).groupBy("name").agg(F.max("flag").alias("flag"))
     return reads(spark, d).join(lists, "name", "left").select("rid", F.coalesce("flag", F.lit(0)).alias("trio_flag"))
 

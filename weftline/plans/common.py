@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,6 +45,17 @@ READS = """reads AS (SELECT rid, max(read_name) AS name, max(upper(seq)) AS seq,
 FROM kseq_reads WHERE rid IS NOT NULL AND seq IS NOT NULL AND seq <> '' GROUP BY rid)"""
 
 
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    """rid, run, place: the run that a record was first listed for, and the place of that run by number of records (1 the largest; ties by name)."""
+    t = table(spark, d, "kseq_reads").where("rid is not null and run_id is not null").groupBy("rid").agg(F.min("run_id").alias("run"))
+    n = t.groupBy("run").agg(F.count(F.lit(1)).alias("n"))  # one row a run
+    return t.join(n.select("run", F.row_number().over(Window.orderBy(F.desc("n"), "run")).alias("place")), "run").select("rid", "run", "place")
+
+
+RUNS = """rec_run AS (SELECT rid, min(run_id) AS run FROM kseq_reads WHERE rid IS NOT NULL AND run_id IS NOT NULL GROUP BY rid),
+runs AS (SELECT rid, run, place::INTEGER AS place FROM rec_run JOIN (SELECT run, row_number() OVER (ORDER BY count(*) DESC, run) AS place FROM rec_run GROUP BY run) USING (run))"""
+
+
 def overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Distinct pairwise matches with both lengths: qn,ql,qs,qe,tn,tl,ts,te,rev,ml,bl; half-open, forward strand."""
     p = table(spark, d, "paf").where("x_id is not null and y_id is not null")

@@ -9,14 +9,22 @@ from pyspark.sql import functions as F
 from ..functions import seq as S
 from ..operators import graph as G
 from ..operators import kmers as K
-from .common import OVERLAPS, READS, SEEDS, Registry, overlaps, reads, seeds, spread
+from .advanced import TRIO_CLASS, sca13_trio_class
+from .common import OVERLAPS, READS, RUNS, SEEDS, Registry, overlaps, reads, runs, seeds, spread
 from .graph import _ARCS, arcs
 from .kmers import _ALL, KLEN, _HITS, placed, seed_hits
-from .relational import _SWEEP, depth
+from .relational import _CONT, _SWEEP, containers, depth
 from .scalar import ARC_SQL, _sql_hash64
 
 q = Registry()
 c = F.col
+_OVL = OVERLAPS[len(READS) + 2 :]  # for texts that have the reads already
+
+
+def classes(spark, d):
+    """rid, cls of the records with a parental class."""
+    return sca13_trio_class(spark, d).where("cls in ('p', 'm')")
+
 
 _GAP, _SKIP, _BAND = 0.05, 0.0005, 0.05
 _SCORE = f"""CASE WHEN dq <= 0 OR dt <= 0 OR (dd > 16 AND dd > {_BAND} * dq) THEN NULL ELSE least({KLEN}, lo) - CASE WHEN dd > 0 OR lo > {KLEN} THEN floor(least({_GAP} * dd, least({KLEN}, lo) * (dd / CAST(lo AS DOUBLE)) / {_BAND}) + {_SKIP} * lo) ELSE 0 END END"""
@@ -85,22 +93,24 @@ def pur02_boundaries(spark, d):
     return o.agg(F.min("qs").alias("q_lo"), F.max("qe").alias("q_hi"), F.min("ts").alias("t_lo"), F.max("te").alias("t_hi"), F.sum("ml").alias("ml"), F.count(F.lit(1)).alias("n"))
 
 
-@q(f"WITH {OVERLAPS} SELECT qn, tn, qs, ts FROM ovl WHERE qn % 3 = tn % 3 OR qn % 3 = 2 OR tn % 3 = 2")
+@q(f"WITH {TRIO_CLASS}, k AS (SELECT rid, cls FROM cls WHERE cls IN ('p', 'm')), {_OVL} SELECT o.qn, o.tn, o.qs, o.ts FROM ovl o LEFT JOIN k a ON a.rid = o.qn LEFT JOIN k b ON b.rid = o.tn WHERE a.cls IS NULL OR b.cls IS NULL OR a.cls = b.cls")
 def pha07_by_class(spark, d):
-    """Matches between records of one parental class, or with a record of none (classes here: the id modulo 3)."""
-    o = overlaps(spark, d)
-    return o.where("qn % 3 = tn % 3 or qn % 3 = 2 or tn % 3 = 2").select("qn", "tn", "qs", "ts")
+    """Matches between records of one parental class, or with a record of none."""
+    k = classes(spark, d)
+    o = overlaps(spark, d).join(k.select(c("rid").alias("qn"), c("cls").alias("a")), "qn", "left").join(k.select(c("rid").alias("tn"), c("cls").alias("b")), "tn", "left")
+    return o.where("a is null or b is null or a = b").select("qn", "tn", "qs", "ts")
 
 
-_UNI = f"{_ALL}, once AS (SELECT kmer, min(rid) AS uid, min(pos) AS upos FROM kmers WHERE rid % 3 = 0 GROUP BY kmer HAVING count(*) = 1)"
+_UNI = f"{_ALL}, {RUNS}, once AS (SELECT kmer, min(rid) AS uid, min(pos) AS upos FROM kmers JOIN runs USING (rid) WHERE place = 1 GROUP BY kmer HAVING count(*) = 1)"
 
 
-@q(f"WITH {_UNI} SELECT k.rid AS qid, o.uid, count(*)::BIGINT AS n, min(o.upos)::INTEGER AS first_pos FROM kmers k JOIN once o USING (kmer) WHERE k.rid % 3 = 1 GROUP BY k.rid, o.uid HAVING count(*) >= 10")
+@q(f"WITH {_UNI} SELECT k.rid AS qid, o.uid, count(*)::BIGINT AS n, min(o.upos)::INTEGER AS first_pos FROM kmers k JOIN once o USING (kmer) LEFT JOIN runs r ON r.rid = k.rid WHERE coalesce(r.place, 0) <> 1 GROUP BY k.rid, o.uid HAVING count(*) >= 10")
 def pha08_unique_hits(spark, d):
-    """Records placed on contigs by k-mers that occur once there (contigs: records 0 modulo 3, mates: 1 modulo 3)."""
+    """Records placed on contigs by k-mers that occur once there (contigs: the records of the largest run, mates: all others)."""
     p = K.kmer_positions(reads(spark, d), KLEN)
-    once = p.where("rid % 3 = 0").groupBy("code").agg(F.min("rid").alias("uid"), F.min("pos").alias("upos"), F.count(F.lit(1)).alias("k")).where("k = 1").drop("k")
-    h = p.where("rid % 3 = 1").select("code", c("rid").alias("qid")).join(once, "code")
+    contigs = runs(spark, d).where("place = 1").select("rid")
+    once = p.join(contigs, "rid", "left_semi").groupBy("code").agg(F.min("rid").alias("uid"), F.min("pos").alias("upos"), F.count(F.lit(1)).alias("k")).where("k = 1").drop("k")
+    h = p.join(contigs, "rid", "left_anti").select("code", c("rid").alias("qid")).join(once, "code")
     return h.groupBy("qid", "uid").agg(F.count(F.lit(1)).alias("n"), F.min("upos").alias("first_pos")).where("n >= 10")
 
 
@@ -111,11 +121,11 @@ def scf05_breaks(spark, d):
     return t.where("e < len").select("rid", "s", "e", "depth")
 
 
-@q(f"WITH {OVERLAPS}, t AS (SELECT qn, tn % 2 AS h, lag(tn % 2) OVER (PARTITION BY qn ORDER BY qs, qe, tn, ts, te, rev, ml, bl) AS b FROM ovl WHERE qn <> tn) SELECT qn, count(*)::BIGINT AS n, count_if(coalesce(h <> b, false))::BIGINT AS switches FROM t GROUP BY qn")
+@q(f"WITH {TRIO_CLASS}, {_OVL}, t AS (SELECT qn, k.cls AS h, lag(k.cls) OVER (PARTITION BY qn ORDER BY qs, qe, tn, ts, te, rev, ml, bl) AS b FROM ovl JOIN cls k ON k.rid = tn AND k.cls IN ('p', 'm') WHERE qn <> tn) SELECT qn, count(*)::BIGINT AS n, count_if(coalesce(h <> b, false))::BIGINT AS switches FROM t GROUP BY qn")
 def scf06_switches(spark, d):
-    """Changes of the partner's class along a record (classes here: parity of the id)."""
+    """Changes of the parental class of the partners along a record; partners without a class are passed over."""
     w = Window.partitionBy("qn").orderBy("qs", "qe", "tn", "ts", "te", "rev", "ml", "bl")
-    t = overlaps(spark, d).where("qn <> tn").withColumn("h", c("tn") % 2).withColumn("b", F.lag(c("tn") % 2).over(w))
+    t = overlaps(spark, d).where("qn <> tn").join(classes(spark, d).select(c("rid").alias("tn"), c("cls").alias("h")), "tn").withColumn("b", F.lag("h").over(w))
     return t.groupBy("qn").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("h") != c("b")).alias("switches"))
 
 
@@ -134,13 +144,13 @@ def top08_shuffle(spark, d):
     return reads(spark, d).select("rid", S.hash64(c("rid")).alias("h")).orderBy("h")
 
 
-@q(f"WITH {OVERLAPS}, g AS (SELECT qn // 50 AS uid, count(DISTINCT qn)::BIGINT AS n_records, sum(qe - qs)::BIGINT AS bases, count_if(qn % 2 = 0)::BIGINT AS n_even FROM ovl WHERE qn <> tn GROUP BY 1), l AS (SELECT rid // 50 AS uid, sum(len)::BIGINT AS total FROM reads GROUP BY 1) SELECT g.uid, n_records, n_even, (bases // total)::BIGINT AS depth FROM g JOIN l USING (uid)")
+@q(f"WITH {OVERLAPS}, {_CONT}, m AS (SELECT r.rid, r.len, coalesce(h.box, r.rid) AS uid FROM reads r LEFT JOIN held h USING (rid)), g AS (SELECT m.uid, count(DISTINCT o.qn)::BIGINT AS n_records, sum(qe - qs)::BIGINT AS bases, count_if(o.rev = 1)::BIGINT AS n_rev FROM ovl o JOIN m ON m.rid = o.qn WHERE o.qn <> o.tn GROUP BY m.uid), l AS (SELECT uid, sum(len)::BIGINT AS total FROM m GROUP BY uid) SELECT uid, n_records, n_rev, (bases // total)::BIGINT AS depth FROM g JOIN l USING (uid)")
 def agg22_group_depth(spark, d):
-    """Records, one class of them, and depth per group (groups here: blocks of 50 ids stand for unitigs)."""
-    o = overlaps(spark, d).where("qn <> tn").withColumn("uid", F.expr("qn div 50"))
-    g = o.groupBy("uid").agg(F.countDistinct("qn").alias("n_records"), F.sum(c("qe") - c("qs")).alias("bases"), F.count_if(c("qn") % 2 == 0).alias("n_even"))
-    r = reads(spark, d).groupBy(F.expr("rid div 50").alias("uid")).agg(F.sum(c("len").cast("long")).alias("total"))
-    return g.join(r, "uid").select("uid", "n_records", "n_even", F.expr("bases div total").alias("depth"))
+    """Records, matches on the other strand and depth per group: a record and those that it holds."""
+    o = overlaps(spark, d)
+    m = reads(spark, d).select("rid", c("len").cast("long").alias("len")).join(containers(o), "rid", "left").select("rid", "len", F.coalesce("box", "rid").alias("uid"))
+    g = o.where("qn <> tn").join(m.select(c("rid").alias("qn"), "uid"), "qn").groupBy("uid").agg(F.countDistinct("qn").alias("n_records"), F.sum(c("qe") - c("qs")).alias("bases"), F.count_if(c("rev") == 1).alias("n_rev"))
+    return g.join(m.groupBy("uid").agg(F.sum("len").alias("total")), "uid").select("uid", "n_records", "n_rev", F.expr("bases div total").alias("depth"))
 
 
 QUERIES, SQL = q.queries, q.sql

@@ -115,12 +115,12 @@ def gra13_unitigs(spark, d):
     return G.unitigs(arcs(spark, d))
 
 
-@q(f"WITH RECURSIVE {_ARCS}, lv(node, level) AS (SELECT node, 0 FROM (SELECT min(node) AS node FROM deg WHERE n_out = (SELECT max(n_out) FROM deg)) UNION SELECT a.v, l.level + 1 FROM lv l JOIN arcs a ON a.u = l.node WHERE l.level < 5) SELECT node, min(level)::INTEGER AS level FROM lv GROUP BY node")
+@q(f"WITH RECURSIVE {_ARCS}, lv(node, level) AS (SELECT node, 0 FROM (SELECT min(node) AS node FROM deg WHERE n_out = (SELECT max(n_out) FROM deg)) UNION SELECT a.v, l.level + 1 FROM lv l JOIN arcs a ON a.u = l.node WHERE l.level < 200) SELECT node, min(level)::INTEGER AS level FROM lv GROUP BY node")
 def gra15_levels(spark, d):
-    """Breadth-first levels from the node with most outgoing arcs."""
+    """Breadth-first levels of every node that the node with most outgoing arcs reaches."""
     a = arcs(spark, d)
     start = G.degrees(a).agg(F.max_by("node", F.struct("n_out", -c("node"))).alias("node"))
-    return G.levels(a, start, 5)
+    return G.levels(a, start)
 
 
 @q(f"""WITH RECURSIVE {EDGES}, e AS (SELECT u, v FROM edges WHERE w >= 100 UNION SELECT v, u FROM edges WHERE w >= 100), r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
@@ -175,15 +175,15 @@ def gra11_circles(spark, d):
     return members.join(n, "group_id").select(c("rid").alias("node"), "n_nodes")
 
 
-@q(f"WITH RECURSIVE {EDGES}, e AS (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges), h(rid, k) AS (SELECT rid, 0 FROM (SELECT DISTINCT rid FROM reads ORDER BY rid LIMIT 5) UNION SELECT e.v, h.k + 1 FROM h JOIN e ON e.u = h.rid WHERE h.k < 2) SELECT rid, min(k)::INTEGER AS level FROM h GROUP BY rid")
+@q(f"WITH RECURSIVE {EDGES}, e AS (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges), h(start, rid, k) AS (SELECT rid, rid, 0 FROM reads WHERE rid % 50 = 0 UNION SELECT h.start, e.v, h.k + 1 FROM h JOIN e ON e.u = h.rid WHERE h.k < 2) SELECT start, rid, min(k)::INTEGER AS level FROM h GROUP BY start, rid")
 def gra20_neighbourhood(spark, d):
-    """Records within two matches of a list of records (the five smallest ids stand for the list)."""
+    """Records within two matches of each record of the query set (ids divisible by 50), searched among all."""
     from .common import reads
 
     e = edges(spark, d)
     b = e.select("u", "v").unionByName(e.select(c("v").alias("u"), c("u").alias("v")))
-    start = reads(spark, d).select(c("rid").alias("node")).orderBy("node").limit(5)
-    return G.levels(b, start, 2).select(c("node").alias("rid"), "level")
+    start = reads(spark, d).where("rid % 50 = 0").select(c("rid").alias("start"), c("rid").alias("node"))
+    return G.levels(b, start, 2).select("start", c("node").alias("rid"), "level")
 
 
 QUERIES, SQL = q.queries, q.sql

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import seq as S
 from ..kernels import peaks
 from ..operators import kmers as K
-from .common import OVERLAPS, READS, SEEDS, Registry, overlaps, reads, seeds, table
+from ..options import Options
+from .common import OVERLAPS, READS, RUNS, SEEDS, Registry, overlaps, reads, runs, seeds, table
 from .scalar import _sql_hash64
 
 q = Registry()
 KLEN = 21
-MAX_OCC = 30  # seeds in larger buckets carry no position information; a rule of the method
+MAX_OCC = 30  # SEED-06 only: buckets of which all pairs are made
 HOM = 20
+HIGH = round(HOM * Options().high_factor)  # places of a key that the index keeps: the coverage peak times the factor of the options
 
 _ALL = f"""{READS}, kmers AS (SELECT rid, pos, k, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS kmer FROM (
 SELECT rid, pos::INTEGER AS pos, substr(seq, pos::INTEGER + 1, {KLEN}) AS k FROM (SELECT rid, seq, unnest(range(0, greatest(len - {KLEN - 1}, 0))) AS pos FROM reads)) WHERE NOT regexp_matches(k, '[^ACGT]'))"""
@@ -60,20 +62,20 @@ def agg05_filter_table(spark, d):
     return named(K.filter_table(counts(spark, d), 15, 24)).select("kmer", "cnt", "cls")
 
 
-@q(f"WITH {_ALL}, keys AS (SELECT DISTINCT kmer FROM kmers WHERE rid % 3 = 0) SELECT kmer, count(*)::BIGINT AS n FROM kmers SEMI JOIN keys USING (kmer) WHERE rid % 3 = 1 GROUP BY kmer")
+@q(f"WITH {_ALL}, {RUNS}, keys AS (SELECT DISTINCT kmer FROM kmers JOIN runs USING (rid) WHERE place = 1) SELECT kmer, count(*)::BIGINT AS n FROM kmers SEMI JOIN keys USING (kmer) GROUP BY kmer")
 def agg02_recount(spark, d):
-    """Counts in one set of records of the k-mers known from another (two runs told apart by the remainder of the id)."""
+    """Counts over all records of the k-mers known from the largest run."""
     r = reads(spark, d)
-    known = K.kmer_counts(r.where("rid % 3 = 0"), KLEN).select("code")
-    n = K.kmer_counts(r.where("rid % 3 = 1"), KLEN, saturate=1 << 60).withColumnRenamed("cnt", "n")
+    known = K.kmer_counts(r.join(runs(spark, d).where("place = 1"), "rid", "left_semi"), KLEN).select("code")
+    n = K.kmer_counts(r, KLEN, saturate=1 << 60).withColumnRenamed("cnt", "n")
     return named(n.join(known, "code", "left_semi")).select("kmer", "n")
 
 
-@q(f"WITH {_ALL}, b AS (SELECT kmer, list(rid * 134217728 + pos ORDER BY rid, pos) AS places FROM kmers GROUP BY kmer HAVING count(*) BETWEEN 2 AND {MAX_OCC}) SELECT kmer, len(places)::INTEGER AS n, places[1]::BIGINT AS first_place, places[-1]::BIGINT AS last_place FROM b")
+@q(f"WITH {_ALL}, b AS (SELECT kmer, list(rid * 134217728 + pos ORDER BY rid, pos) AS places FROM kmers GROUP BY kmer HAVING count(*) BETWEEN 2 AND {HIGH}) SELECT kmer, len(places)::INTEGER AS n, places[1]::BIGINT AS first_place, places[-1]::BIGINT AS last_place FROM b")
 def agg06_position_index(spark, d):
     """The position index, without k-mers seen once or above the frequency rule; a place is record and position in one number."""
     p = K.kmer_positions(reads(spark, d), KLEN)
-    few = p.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(f"n between 2 and {MAX_OCC}")
+    few = p.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(f"n between 2 and {HIGH}")
     p = p.join(few, "code").withColumn("place", F.col("rid") * 134217728 + F.col("pos"))
     b = p.groupBy("code").agg(F.sort_array(F.collect_list("place")).alias("places"))
     t = b.select("code", F.size("places").alias("n"), F.element_at("places", 1).alias("first_place"), F.element_at("places", -1).alias("last_place"))
@@ -130,29 +132,37 @@ def seed01_seed_weight(spark, d):
     return s.groupBy("qid", "tid").agg(F.count(F.lit(1)).alias("n_seeds"), F.sum(F.col("rev").cast("long")).alias("n_rev"), F.sum("wt").cast("long").alias("weight"))
 
 
-_HITS = f"""{_MZC}, few AS (SELECT x FROM occ WHERE cnt BETWEEN 2 AND {MAX_OCC}), sel AS (SELECT * FROM mzc SEMI JOIN few USING (x)),
+def _hits_sql(most: int) -> str:
+    return f"""{_MZC}, few AS (SELECT x FROM occ WHERE cnt BETWEEN 2 AND {most}), sel AS (SELECT * FROM mzc SEMI JOIN few USING (x)),
 hits AS (SELECT a.rid AS qid, b.rid AS tid, (a.rev <> b.rev)::INTEGER AS rev, a.pos AS qpos, b.pos AS tpos, a.x FROM sel a JOIN sel b ON a.x = b.x AND a.rid < b.rid)"""
 
 
-def seed_hits(spark, d):
-    """Pairs of records sharing a minimizer seen 2 to MAX_OCC times: at most MAX_OCC partners a row."""
+_HITS = _hits_sql(HIGH)
+
+
+def seed_hits(spark, d, most=HIGH):
+    """Pairs of records sharing a minimizer seen 2 to ``most`` times: at most that many partners a row."""
     mz = placed(spark, d)
-    few = occurrences(mz).where(f"cnt between 2 and {MAX_OCC}").select("x")
+    few = occurrences(mz).where(f"cnt between 2 and {most}").select("x")
     sel = mz.join(few, "x", "left_semi")
     a = sel.select("x", F.col("rid").alias("qid"), F.col("pos").alias("qpos"), F.col("rev").alias("r1"))
     b = sel.select("x", F.col("rid").alias("tid"), F.col("pos").alias("tpos"), F.col("rev").alias("r2"))
     return a.join(b, "x").where("qid < tid").select("qid", "tid", (F.col("r1") != F.col("r2")).cast("int").alias("rev"), "qpos", "tpos", "x")
 
 
-@q(f"WITH {_HITS} SELECT qid, tid, rev, count(*)::BIGINT AS n, min(qpos) AS q_lo, max(qpos) AS q_hi FROM hits GROUP BY qid, tid, rev")
+@q(f"WITH {_hits_sql(MAX_OCC)} SELECT qid, tid, rev, count(*)::BIGINT AS n, min(qpos) AS q_lo, max(qpos) AS q_hi FROM hits GROUP BY qid, tid, rev")
 def seed06_bucket_pairs(spark, d):
-    return seed_hits(spark, d).groupBy("qid", "tid", "rev").agg(F.count(F.lit(1)).alias("n"), F.min("qpos").alias("q_lo"), F.max("qpos").alias("q_hi"))
+    return seed_hits(spark, d, MAX_OCC).groupBy("qid", "tid", "rev").agg(F.count(F.lit(1)).alias("n"), F.min("qpos").alias("q_lo"), F.max("qpos").alias("q_hi"))
 
 
-@q(f"WITH {_HITS}, {OVERLAPS}, known AS (SELECT DISTINCT least(qn, tn) AS qid, greatest(qn, tn) AS tid FROM ovl) SELECT qid, tid, rev, qpos, tpos, x FROM hits SEMI JOIN known USING (qid, tid)")
+@q(f"WITH {_MZC}, {OVERLAPS}, known AS (SELECT DISTINCT least(qn, tn) AS qid, greatest(qn, tn) AS tid FROM ovl WHERE qn <> tn) SELECT k.qid, k.tid, (a.rev <> b.rev)::INTEGER AS rev, a.pos AS qpos, b.pos AS tpos, a.x FROM known k JOIN mzc a ON a.rid = k.qid JOIN mzc b ON b.rid = k.tid AND b.x = a.x")
 def seed03_reseed(spark, d):
-    known = overlaps(spark, d).select(F.least("qn", "tn").alias("qid"), F.greatest("qn", "tn").alias("tid")).distinct()
-    return seed_hits(spark, d).join(known, ["qid", "tid"], "left_semi")
+    """All seeds of known pairs, frequent ones too: records bring their minimizers to their pairs, so no bucket of a minimizer is squared."""
+    known = overlaps(spark, d).where("qn <> tn").select(F.least("qn", "tn").alias("qid"), F.greatest("qn", "tn").alias("tid")).distinct()
+    mz = placed(spark, d)
+    a = known.join(mz.select(F.col("rid").alias("qid"), "x", F.col("pos").alias("qpos"), F.col("rev").alias("r1")), "qid")
+    b = mz.select(F.col("rid").alias("tid"), "x", F.col("pos").alias("tpos"), F.col("rev").alias("r2"))
+    return a.join(b, ["tid", "x"]).select("qid", "tid", (F.col("r1") != F.col("r2")).cast("int").alias("rev"), "qpos", "tpos", "x")
 
 
 @q(f"WITH {_HITS} SELECT qid, tid, rev, n, n_distinct FROM (SELECT qid, tid, rev, count(*)::BIGINT AS n, count(DISTINCT x)::BIGINT AS n_distinct, max(count(*)) OVER (PARTITION BY qid, tid) AS best FROM hits GROUP BY qid, tid, rev) WHERE n_distinct >= 2 AND n = best")

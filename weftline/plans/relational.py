@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as S
 from ..operators import intervals as I
-from .common import EDGES, OVERLAPS, READS, SEEDS, Registry, edges, overlaps, reads, seeds, table
+from .common import EDGES, OVERLAPS, READS, RUNS, SEEDS, Registry, edges, overlaps, reads, runs, seeds, table
 from .scalar import _TYPE, SPANS, exact_overlaps
 
 q = Registry()
@@ -219,11 +219,12 @@ def agg20_type_vote(spark, d):
     return o.groupBy("qn").agg(best).select("qn", "b.ov", "b.k")
 
 
-@q(f"WITH {EDGES}, spin AS (SELECT DISTINCT rid, CASE WHEN rid % 2 = 0 THEN 1 ELSE -1 END AS s FROM reads) SELECT (least(u, v) // 100)::BIGINT AS grp, sum(-a.s * b.s * w)::BIGINT AS score FROM edges JOIN spin a ON a.rid = u JOIN spin b ON b.rid = v GROUP BY 1")
+@q(f"WITH {EDGES}, {RUNS}, spin AS (SELECT rid, run, CASE WHEN place = 1 THEN 1 ELSE -1 END AS s FROM runs) SELECT a.run, sum(-a.s * b.s * w)::BIGINT AS score FROM edges JOIN spin a ON a.rid = u JOIN spin b ON b.rid = v GROUP BY a.run")
 def agg21_cut_score(spark, d):
-    """Score of a two-sided assignment (here by parity of the id) per block of ids."""
-    s = F.when(c("u") % 2 == 0, 1).otherwise(-1) * F.when(c("v") % 2 == 0, 1).otherwise(-1)
-    return edges(spark, d).groupBy(F.floor(c("u") / 100).alias("grp")).agg(F.sum(-s * c("w")).alias("score"))
+    """Score of a two-sided assignment, the largest run against the others, per run of the first record."""
+    k = runs(spark, d).select("rid", "run", F.when(c("place") == 1, 1).otherwise(-1).alias("s"))
+    e = edges(spark, d).join(k.select(c("rid").alias("u"), "run", c("s").alias("a")), "u").join(k.select(c("rid").alias("v"), c("s").alias("b")), "v")
+    return e.groupBy("run").agg(F.sum(-c("a") * c("b") * c("w")).alias("score"))
 
 
 # --- windows ----------------------------------------------------------------

@@ -68,14 +68,16 @@ def sca06_hash64(spark, d):
     return table(spark, d, "minimizers").where("x is not null").select("x", S.hash64(F.col("x")).alias("h")).distinct()
 
 
-_PICK = "substr(seq, 1 + (rid % (len - 20))::INTEGER, 21)"
+_RC = "reverse(translate(k, 'ACGT', 'TGCA'))"
 
 
-@q(f"WITH {READS} SELECT rid, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS canon, k > reverse(translate(k, 'ACGT', 'TGCA')) AS flipped FROM (SELECT rid, {_PICK} AS k FROM reads WHERE len > 20) WHERE NOT regexp_matches(k, '[^ACGT]')")
+@q(f"WITH {READS}, w AS (SELECT rid, pos::INTEGER AS pos, substr(seq, pos::INTEGER + 1, 21) AS k FROM (SELECT rid, seq, unnest(range(0, greatest(len - 20, 0))) AS pos FROM reads)) SELECT rid, pos, CASE WHEN up THEN k ELSE rc END AS canon, NOT up AS flipped FROM (SELECT *, {_RC} AS rc, translate(k, 'ACGT', '0011') < translate({_RC}, 'ACGT', '0011') AS up FROM w WHERE NOT regexp_matches(k, '[^ACGT]'))")
 def sca07_canonical(spark, d):
-    k = F.expr("substr(seq, 1 + cast(rid % (len - 20) as int), 21)")
-    t = reads(spark, d).where("len > 20").select("rid", k.alias("k")).where("not (k rlike '[^ACGT]')")
-    return t.select("rid", S.canonical(F.col("k")).alias("canon"), (F.col("k") > S.reverse_complement(F.col("k"))).alias("flipped"))
+    """Every 21-mer on its canonical strand: the one whose plane of high bits (G and T) is the smaller number."""
+    t = reads(spark, d).where("len > 20").select("rid", F.posexplode(F.expr("transform(sequence(1, len - 20), i -> substr(seq, i, 21))")).alias("pos", "k")).where("not (k rlike '[^ACGT]')")
+    rc = S.reverse_complement(F.col("k"))
+    up = F.translate("k", "ACGT", "0011") < F.translate(rc, "ACGT", "0011")
+    return t.select("rid", "pos", F.when(up, F.col("k")).otherwise(rc).alias("canon"), (~up).alias("flipped"))
 
 
 @q(f"WITH {READS} SELECT rid, regexp_replace(seq, '(A)A+|(C)C+|(G)G+|(T)T+', '\\1\\2\\3\\4', 'g') AS hpc FROM reads")
