@@ -15,6 +15,7 @@ from ..options import Options
 from .common import EDGES, OVERLAPS, READS, RUNS, Registry, edges, overlaps, reads, runs, spread
 from .kmers import _ALL, KLEN, seed_hits
 from .relational import _CONT, containers
+from .relational import SQL as REL
 from .scalar import SPANS, spans
 
 q = Registry()
@@ -164,7 +165,7 @@ def ecc06_flip(spark, d):
     return overlaps(spark, d).select("qn", "tn", (c("ql") - c("qe")).alias("qs"), (c("ql") - c("qs")).alias("qe"), (c("tl") - c("te")).alias("ts"), (c("tl") - c("ts")).alias("te"), "rev")
 
 
-@q()
+@q(f"WITH {OVERLAPS}, bad AS (SELECT rid FROM ({REL['agg11_min_depth']}) WHERE chimeric) SELECT qn, tn, qs, qe, ts, te FROM ovl WHERE qn NOT IN (SELECT rid FROM bad) AND tn NOT IN (SELECT rid FROM bad)")
 def ecc09_chimera_filter(spark, d):
     """Matches without those of records whose inner depth drops to 1 or less: two anti-joins."""
     from .relational import agg11_min_depth

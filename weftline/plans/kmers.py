@@ -82,7 +82,13 @@ def agg06_position_index(spark, d):
     return named(t).select("kmer", "n", "first_place", "last_place")
 
 
-@q()
+_PEAKS = f"""{_COUNTS}, hist AS (SELECT cnt, count(*) AS n FROM counts GROUP BY cnt), d AS MATERIALIZED (SELECT i, coalesce(n, 0) AS h, lag(coalesce(n, 0)) OVER (ORDER BY i) AS a, lead(coalesce(n, 0), 1, 0) OVER (ORDER BY i) AS b FROM (SELECT unnest(range(0, (SELECT max(cnt) + 1 FROM counts))) AS i) LEFT JOIN hist ON cnt = i),
+t AS (SELECT min(i) AS t FROM d WHERE i >= 5 AND b > h), m AS (SELECT i AS m, h AS mh FROM d, t WHERE i > t ORDER BY h DESC, i LIMIT 1), loc AS (SELECT i, h FROM d WHERE h > 0 AND h >= a AND h >= b),
+l AS (SELECT i, h FROM loc, t, m WHERE i > t AND i < m ORDER BY h DESC, i DESC LIMIT 1), r AS (SELECT i, h FROM loc, m WHERE i > m ORDER BY h DESC, i LIMIT 1),
+lo AS (SELECT i FROM l, m WHERE h >= 0.05 * mh AND (SELECT min(d.h) FROM d WHERE d.i BETWEEN l.i AND m.m) < 0.95 * h), hi AS (SELECT i FROM r, m WHERE i <= 2.5 * m AND h >= 0.05 * mh AND (SELECT min(d.h) FROM d WHERE d.i BETWEEN m.m AND r.i) < 0.95 * h)"""
+
+
+@q(f"WITH {_PEAKS} SELECT coalesce(t, -1)::INTEGER AS trough, (CASE WHEN t IS NULL THEN -1 ELSE coalesce((SELECT i FROM hi), (SELECT m FROM m)) END)::INTEGER AS hom, (CASE WHEN t IS NULL THEN -1 WHEN EXISTS (SELECT 1 FROM hi) THEN (SELECT m FROM m) ELSE coalesce((SELECT i FROM lo), -1) END)::INTEGER AS het FROM t")
 def agg07_peaks(spark, d):
     """Peaks of the k-mer histogram; the histogram has at most 4,095 rows, which is what reaches the driver."""
     hist = {r["cnt"]: r["n"] for r in agg03_histogram(spark, d).collect()}

@@ -163,7 +163,18 @@ def sca19_homopolymers(spark, d):
     return t.select("rid", F.size("runs").alias("n_runs"), F.coalesce(F.array_max(F.transform("runs", F.length)), F.lit(0)).alias("longest"))
 
 
-@q()
+def _mod64(x: str) -> str:
+    return f"({x}) % 18446744073709551616"
+
+
+_Z0 = _mod64("rid::UHUGEINT + 11400714819323198485::UHUGEINT")
+_MIX = [("z // 1073741824", 13787848793156543929), ("z // 134217728", 10723151780598845931)]
+_SPLIT = f"SELECT rid, {_Z0} AS z FROM reads"
+for _sh, _mul in _MIX:
+    _SPLIT = f"SELECT rid, {_mod64(f'xor(z, {_sh}) * {_mul}::UHUGEINT')} AS z FROM ({_SPLIT})"
+
+
+@q(f"WITH {READS} SELECT rid, (xor(z, z // 2147483648) // 2048)::DOUBLE / 9007199254740992.0 AS u FROM ({_SPLIT})")
 def sca23_splitmix64(spark, d):
     """A replayable stream: the first draw for each record id as seed, as a double in [0, 1)."""
 
