@@ -138,3 +138,27 @@ def test_packing_of_letters():
     assert (bits.unmix(bits.mix(x)) == x).all()
     h = np.array([5, 3, 9, 1, 7, 2], np.uint64)
     assert bits.sliding_min(h, 3).tolist() == [3, 1, 1, 1] and bits.sliding_min(h, 1).tolist() == h.tolist()
+
+
+def test_long_kmers_equal_brute_force(spark):
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from weftline.operators import kmers as K
+
+    rnd = random.Random(8)
+    seqs = ["".join(rnd.choice("ACGT") for _ in range(rnd.randint(0, 150))) for _ in range(30)] + ["ACGT" * 40, "A" * 90, None, "", "ACN" * 50, "at" * 60]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)] + [(99, seqs[0])], "rid long, seq string")
+    flip = str.maketrans("ACGT", "TGCA")
+    for k in (33, 51, 63):
+        want = Counter()
+        for s in [*seqs, seqs[0]]:
+            u = (s or "").upper()
+            for i in range(len(u) - k + 1):
+                w = u[i : i + k]
+                if not set(w) - set("ACGT"):
+                    want[min(w, w[::-1].translate(flip))] += 1
+        t = K.long_kmer_counts(df, k).select(K.decode_long(F.col("hi"), F.col("lo"), k).alias("kmer"), "cnt")
+        assert {r["kmer"]: r["cnt"] for r in t.collect()} == want

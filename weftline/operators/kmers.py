@@ -45,6 +45,39 @@ def kmer_counts(reads: DataFrame, k: int, seq: str = "seq", saturate: int = COUN
     return t.groupBy("code").agg(F.least(F.sum("n"), F.lit(saturate)).alias("cnt"))
 
 
+def long_kmer_counts(reads: DataFrame, k: int, seq: str = "seq", saturate: int = COUNT_MAX) -> DataFrame:
+    """hi, lo, cnt of every canonical k-mer of 33 to 63 letters: ``lo`` its last 32 letters, ``hi`` those before.
+
+    Otherwise as ``kmer_counts``.
+    """
+    if not 33 <= k <= 63:
+        raise ValueError("k must be 33 to 63")
+    n_hi = k - 32
+
+    def run(batches):
+        for _, data, off in (x for b in batches for x in text_slices(None, b.column(0))):
+            code = CODE[data]
+            lo, hi, _ = letter_runs(code, off, k)
+            at = _places(lo, hi, k)
+            if not len(at):
+                continue
+            a, b = packed(code, n_hi)[at], packed(code, 32)[at + n_hi]
+            ra, rb = packed_reverse(code, n_hi)[at + 32], packed_reverse(code, 32)[at]
+            own = (a < ra) | ((a == ra) & (b <= rb))
+            a, b = np.where(own, a, ra), np.where(own, b, rb)
+            o = np.lexsort((b, a))
+            a, b = a[o], b[o]
+            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(np.diff(np.append(first, len(a))))], names=["hi", "lo", "n"])
+
+    t = reads.select(F.col(seq)).where(F.length(seq) >= k).mapInArrow(run, "hi long, lo long, n long")
+    return t.groupBy("hi", "lo").agg(F.least(F.sum("n"), F.lit(saturate)).alias("cnt"))
+
+
+def decode_long(hi: Column, lo: Column, k: int) -> Column:
+    return F.concat(decode(hi, k - 32), decode(lo, 32))
+
+
 def kmer_positions(reads: DataFrame, k: int, record: str = "rid", seq: str = "seq") -> DataFrame:
     """rid, pos, code, rev of every k-mer: canonical code, and whether the reverse complement is the smaller."""
 

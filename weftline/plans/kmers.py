@@ -42,6 +42,16 @@ def agg01_kmer_count(spark, d):
     return named(counts(spark, d)).select("kmer", "cnt")
 
 
+_LONG = Options().k
+
+
+@q(f"WITH {READS} SELECT least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS kmer, least(count(*), 4095)::BIGINT AS cnt FROM (SELECT substr(seq, pos::INTEGER + 1, {_LONG}) AS k FROM (SELECT seq, unnest(range(0, greatest(len - {_LONG - 1}, 0))) AS pos FROM reads)) WHERE NOT regexp_matches(k, '[^ACGT]') GROUP BY 1")
+def agg01_long_kmers(spark, d):
+    """Counts at the default length of the options (51)."""
+    t = K.long_kmer_counts(reads(spark, d), _LONG)
+    return t.select(K.decode_long(F.col("hi"), F.col("lo"), _LONG).alias("kmer"), "cnt")
+
+
 @q(f"WITH {_COUNTS} SELECT kmer, cnt FROM counts WHERE cnt >= 2")
 def kmr02_repeated(spark, d):
     return named(counts(spark, d).where("cnt >= 2")).select("kmer", "cnt")
