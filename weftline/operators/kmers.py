@@ -6,13 +6,15 @@ the shuffle, so repeats leave a scan task once per batch. Text form is made for
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import hash64
-from ..kernels.bits import CODE, letter_runs, packed, packed_reverse, sliding_min, text_slices
+from ..kernels.bits import CODE, letter_runs, mix, packed, packed_reverse, sliding_min, text_slices
 
 #: Counts saturate here (12 bits); counts of parental dumps saturate at PARENT_MAX.
 COUNT_MAX, PARENT_MAX = 4095, 1023
@@ -78,8 +80,40 @@ def decode_long(hi: Column, lo: Column, k: int) -> Column:
     return F.concat(decode(hi, k - 32), decode(lo, 32))
 
 
-def kmer_positions(reads: DataFrame, k: int, record: str = "rid", seq: str = "seq") -> DataFrame:
-    """rid, pos, code, rev of every k-mer: canonical code, and whether the reverse complement is the smaller."""
+#: Bits of a code filter: 16 a code, up to 2^28 (32 MB), made in chunks of 2^19 (64 KB).
+FILTER_BITS, FILTER_CHUNK = 28, 19
+
+
+def code_filter(codes: DataFrame, most: int = FILTER_BITS) -> np.ndarray:
+    """Bitmap of hashed codes (column ``code`` of a written table) for ``kmer_positions``: never misses a code, lets some others through.
+
+    At most 2^most bits reach the driver, however many codes there are.
+    """
+    bits = min(most, max(FILTER_CHUNK, math.ceil(math.log2(16 * codes.count() + 1))))
+
+    def place(batches):
+        for b in batches:
+            h = mix(b.column(0).to_numpy().view(np.uint64)) & np.uint64((1 << bits) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(FILTER_CHUNK)).astype(np.int32)), pa.array((h & np.uint64((1 << FILTER_CHUNK) - 1)).astype(np.int32))], names=["chunk", "at"])
+
+    def fill(t: pa.Table) -> pa.Table:
+        m = np.zeros(1 << FILTER_CHUNK, bool)
+        m[t.column("at").to_numpy()] = True
+        return pa.table({"chunk": t.column("chunk")[:1], "bits": pa.array([np.packbits(m, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros((1 << (bits - FILTER_CHUNK), 1 << (FILTER_CHUNK - 3)), np.uint8)
+    for r in codes.select("code").where("code is not null").mapInArrow(place, "chunk int, at int").groupBy("chunk").applyInArrow(fill, "chunk int, bits binary").collect():
+        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def kmer_positions(reads: DataFrame, k: int, record: str = "rid", seq: str = "seq", only: np.ndarray | None = None) -> DataFrame:
+    """rid, pos, code, rev of every k-mer: canonical code, and whether the reverse complement is the smaller.
+
+    ``only``: a ``code_filter``; k-mers that it rules out are left out, those that it lets through wrongly stay.
+    The table is hundreds of times what Catalyst expects, so joins on it need a hint that rules out a broadcast.
+    """
+    sent = None if only is None else reads.sparkSession.sparkContext.broadcast(only)
 
     def run(batches):
         for rid, data, off in (x for b in batches for x in text_slices(b.column(0), b.column(1))):
@@ -90,6 +124,10 @@ def kmer_positions(reads: DataFrame, k: int, record: str = "rid", seq: str = "se
                 continue
             owner = np.repeat(rec, hi - lo - k + 1)
             f, r = packed(code, k)[at], packed_reverse(code, k)[at]
+            if sent is not None:
+                h = mix(np.minimum(f, r)) & np.uint64(len(sent.value) * 8 - 1)
+                ok = (sent.value[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                at, owner, f, r = at[ok], owner[ok], f[ok], r[ok]
             yield pa.RecordBatch.from_arrays([pa.array(rid[owner]), pa.array((at - off[owner]).astype(np.int32)), pa.array(np.minimum(f, r).view(np.int64)), pa.array((r < f).astype(np.int32))], names=["rid", "pos", "code", "rev"])
 
     return reads.select(F.col(record).cast("long"), F.col(seq)).where(f"{record} is not null and length({seq}) >= {k}").mapInArrow(run, "rid long, pos int, code long, rev int")

@@ -207,14 +207,18 @@ trio AS (SELECT r.rid, coalesce(n_p, 0)::BIGINT AS n_p, coalesce(n_m, 0)::BIGINT
 
 
 def trio_counts(spark, d):
-    pos = K.kmer_positions(reads(spark, d), KLEN)
-    typ = F.when((c("p") == 2) & (c("m") == 0), 1).when((c("m") == 2) & (c("p") == 0), 2).otherwise(0)
-    h = pos.join(parent_flags(spark, d), "code").select("rid", "pos", typ.alias("typ"))
-    n = h.groupBy("rid").agg(F.count_if(c("typ") == 1).alias("n_p"), F.count_if(c("typ") == 2).alias("n_m"))
-    g = h.where("typ > 0").withColumn("g", c("pos") - F.row_number().over(Window.partitionBy("rid", "typ").orderBy("pos")))
-    r = g.groupBy("rid", "typ", "g").agg(F.count(F.lit(1)).alias("len")).where(f"len >= {KLEN - 4}")
-    rr = r.groupBy("rid").agg(F.coalesce(F.sum(F.when(c("typ") == 1, c("len"))), F.lit(0)).alias("run_p"), F.coalesce(F.sum(F.when(c("typ") == 2, c("len"))), F.lit(0)).alias("run_m"))
-    every = reads(spark, d).select("rid").join(n, "rid", "left").join(rr, "rid", "left")
+    """Counters of every record. Only k-mers of one parent count, so the others are ruled out where they are read; what is left meets the flags by a shuffle."""
+    from ..scratch import Scratch
+
+    typ = F.when((c("p") == 2) & (c("m") == 0), 1).when((c("m") == 2) & (c("p") == 0), 2)
+    own = Scratch(spark, "trio").table(parent_flags(spark, d).select("code", typ.alias("typ")).where("typ is not null"), "flags")
+    pos = K.kmer_positions(reads(spark, d), KLEN, only=K.code_filter(own)).select("rid", "pos", "code")
+    h = pos.join(own.hint("merge"), "code").select("rid", "pos", "typ").repartition("rid")
+    g = h.withColumn("g", c("pos") - F.row_number().over(Window.partitionBy("rid", "typ").orderBy("pos")))
+    r = g.groupBy("rid", "typ", "g").agg(F.count(F.lit(1)).alias("len"))  # a record's hits of one type are its runs
+    long = c("len") >= KLEN - 4
+    t = r.groupBy("rid").agg(*[F.sum(F.when((c("typ") == k) & x, c("len"))).alias(f"{n}_{s}") for n, x in (("n", F.lit(True)), ("run", long)) for k, s in ((1, "p"), (2, "m"))])
+    every = reads(spark, d).select("rid").join(t.hint("merge"), "rid", "left")
     return every.select("rid", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("n_p", "n_m", "run_p", "run_m")])
 
 
