@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import seq as S
 from ..operators import graph as G
 from ..operators import kmers as K
+from ..scratch import Scratch
 from .advanced import TRIO_CLASS, sca13_trio_class
 from .common import OVERLAPS, READS, RUNS, SEEDS, Registry, overlaps, reads, runs, seeds, spread
 from .graph import _ARCS, arcs
@@ -22,8 +23,8 @@ _OVL = OVERLAPS[len(READS) + 2 :]  # for texts that have the reads already
 
 
 def classes(spark, d):
-    """rid, cls of the records with a parental class."""
-    return sca13_trio_class(spark, d).where("cls in ('p', 'm')")
+    """rid, cls of the records with a parental class, written once."""
+    return Scratch(spark, "classes").table(sca13_trio_class(spark, d).where("cls in ('p', 'm')"), "classes")
 
 
 _GAP, _SKIP, _BAND = 0.05, 0.0005, 0.05
@@ -96,7 +97,7 @@ def pur02_boundaries(spark, d):
 @q(f"WITH {TRIO_CLASS}, k AS (SELECT rid, cls FROM cls WHERE cls IN ('p', 'm')), {_OVL} SELECT o.qn, o.tn, o.qs, o.ts FROM ovl o LEFT JOIN k a ON a.rid = o.qn LEFT JOIN k b ON b.rid = o.tn WHERE a.cls IS NULL OR b.cls IS NULL OR a.cls = b.cls")
 def pha07_by_class(spark, d):
     """Matches between records of one parental class, or with a record of none."""
-    k = classes(spark, d)
+    k = classes(spark, d).hint("merge")
     o = overlaps(spark, d).join(k.select(c("rid").alias("qn"), c("cls").alias("a")), "qn", "left").join(k.select(c("rid").alias("tn"), c("cls").alias("b")), "tn", "left")
     return o.where("a is null or b is null or a = b").select("qn", "tn", "qs", "ts")
 
