@@ -126,7 +126,7 @@ def scf05_breaks(spark, d):
 def scf06_switches(spark, d):
     """Changes of the parental class of the partners along a record; partners without a class are passed over."""
     w = Window.partitionBy("qn").orderBy("qs", "qe", "tn", "ts", "te", "rev", "ml", "bl")
-    t = overlaps(spark, d).where("qn <> tn").join(classes(spark, d).select(c("rid").alias("tn"), c("cls").alias("h")), "tn").withColumn("b", F.lag("h").over(w))
+    t = overlaps(spark, d).where("qn <> tn").join(classes(spark, d).hint("merge").select(c("rid").alias("tn"), c("cls").alias("h")), "tn").withColumn("b", F.lag("h").over(w))
     return t.groupBy("qn").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("h") != c("b")).alias("switches"))
 
 
