@@ -34,7 +34,7 @@ def sent(plan: str) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("name", ["agg16_trio_counts", "sca13_trio_class", "pha07_by_class", "scf06_switches"])
+@pytest.mark.parametrize("name", ["agg16_trio_counts", "sca13_trio_class", "pha07_by_class", "scf06_switches", "pha08_unique_hits"])
 def test_no_broadcast_of_kmers(spark, folder, name):
     assert sent(catalog.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()) == []
 

@@ -108,10 +108,12 @@ _UNI = f"{_ALL}, {RUNS}, once AS (SELECT kmer, min(rid) AS uid, min(pos) AS upos
 @q(f"WITH {_UNI} SELECT k.rid AS qid, o.uid, count(*)::BIGINT AS n, min(o.upos)::INTEGER AS first_pos FROM kmers k JOIN once o USING (kmer) LEFT JOIN runs r ON r.rid = k.rid WHERE coalesce(r.place, 0) <> 1 GROUP BY k.rid, o.uid HAVING count(*) >= 10")
 def pha08_unique_hits(spark, d):
     """Records placed on contigs by k-mers that occur once there (contigs: the records of the largest run, mates: all others)."""
-    p = K.kmer_positions(reads(spark, d), KLEN)
-    contigs = runs(spark, d).where("place = 1").select("rid")
-    once = p.join(contigs, "rid", "left_semi").groupBy("code").agg(F.min("rid").alias("uid"), F.min("pos").alias("upos"), F.count(F.lit(1)).alias("k")).where("k = 1").drop("k")
-    h = p.join(contigs, "rid", "left_anti").select("code", c("rid").alias("qid")).join(once, "code")
+    r, contigs = reads(spark, d), runs(spark, d).where("place = 1").select("rid")
+    p = K.kmer_positions(r.join(contigs, "rid", "left_semi"), KLEN)
+    once = p.groupBy("code").agg(F.min("rid").alias("uid"), F.min("pos").alias("upos"), F.count(F.lit(1)).alias("k")).where("k = 1").drop("k")
+    once = Scratch(spark, "unique").table(once, "once")
+    m = K.kmer_positions(r.join(contigs, "rid", "left_anti"), KLEN, only=K.code_filter(once)).select("code", c("rid").alias("qid"))
+    h = m.join(once.hint("merge"), "code")
     return h.groupBy("qid", "uid").agg(F.count(F.lit(1)).alias("n"), F.min("upos").alias("first_pos")).where("n >= 10")
 
 
