@@ -126,20 +126,30 @@ def hit_lists(spark, d):
     return h.where("size(h) >= 2").select("qid", "tid", "rev", c("h.qpos").alias("qp"), c("h.tpos").alias("tp"))
 
 
+CHAIN_ROWS = 40  # pairs with up to so many hits are chained together with all others of their size
+
+
 @q()
 def win02_chains(spark, d):
     """Best chain of every pair (WIN-02, WIN-03) and how many chains score half of it (WIN-04)."""
 
     @F.pandas_udf("score double, n int, q_lo int, q_hi int, t_lo int, t_hi int, n_chains int")
     def run(qp: pd.Series, tp: pd.Series, rev: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, y, r in zip(qp, tp, rev):
-            x, y = np.asarray(x, np.int64), np.asarray(y, np.int64)
-            z = -y if r else y  # a reverse match is collinear once the target runs backwards
-            got = chain.chains(x, z, np.ones(len(x), np.int64), 0.5)
-            s, path = got[0]
-            out.append((s, len(path), x[path].min(), x[path].max(), y[path].min(), y[path].max(), len(got)))
-        return pd.DataFrame(out, columns=["score", "n", "q_lo", "q_hi", "t_lo", "t_hi", "n_chains"])
+        out = np.zeros((len(qp), 7))
+        size, back = qp.map(len).to_numpy(), rev.to_numpy() != 0
+        for n in np.unique(size):
+            own = np.flatnonzero(size == n)
+            for at in np.array_split(own, max(1, len(own) * n * n >> 18)) if n <= CHAIN_ROWS else own[:, None]:
+                x, y = (np.stack(v.iloc[at].to_numpy()).astype(np.int64) for v in (qp, tp))
+                z = np.where(back[at, None], -y, y)  # a reverse match is collinear once the target runs backwards
+                if n <= CHAIN_ROWS:
+                    score, on, k = chain.chains_of_many(x, z, 0.5)
+                else:
+                    got = chain.chains(x[0], z[0], np.ones(n, np.int64), 0.5)
+                    score, on, k = got[0][0], np.isin(np.arange(n), got[0][1])[None], len(got)
+                low, high = (lambda v: np.where(on, v, v.max()).min(1)), (lambda v: np.where(on, v, v.min()).max(1))  # noqa: B023
+                out[at] = np.column_stack(np.broadcast_arrays(score, on.sum(1), low(x), high(x), low(y), high(y), k))
+        return pd.DataFrame(out, columns=["score", "n", "q_lo", "q_hi", "t_lo", "t_hi", "n_chains"]).astype({x: "int32" for x in ("n", "q_lo", "q_hi", "t_lo", "t_hi", "n_chains")})
 
     return spread(hit_lists(spark, d)).withColumn("r", run("qp", "tp", "rev")).select("qid", "tid", "rev", "r.*")
 
