@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators import kmers as K
-from weftline.plans import catalog
+from weftline.plans import advanced, catalog
+from weftline.plans.common import reads
 
 PAF = "x_id long, x_pos_s long, x_pos_e long, x_pos_strand int, y_id long, y_pos_s long, y_pos_e long, y_pos_strand int, match_len long, total_len long"
 
@@ -61,3 +63,34 @@ def test_filter_misses_no_code(spark, folder):
         kept = {tuple(x) for x in K.kmer_positions(r, 21, only=only).collect()}
         assert {x for x in every if x[2] in codes} <= kept < every
     assert not K.kmer_positions(r, 21, only=K.code_filter(t.limit(0))).count()
+
+
+def test_filter_stays_sharp(spark):
+    """Of the places of other codes one in a hundred is shuffled at most."""
+    only = K.code_filter(spark.range(40_000).withColumnRenamed("id", "code"))
+    assert np.unpackbits(only).mean() < 0.01
+
+
+def test_other_runs_are_not_shuffled(spark, folder):
+    """Letters of records outside the parents' runs are ruled out where they are read, and no other letters change."""
+    own = spark.createDataFrame([(x,) for x in range(3)], "code long")
+    got = {r["rid"]: r["seq"] for r in reads(spark, folder, only=K.code_filter(own)).collect()}
+    every = {r["rid"]: r["seq"] for r in reads(spark, folder).collect()}
+    assert {0, 1, 2} <= got.keys() and len(got) < len(every) == 19 and got.items() <= every.items()
+    plan = advanced.parent_flags(spark, folder)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    letters = [i for i, x in enumerate(plan) if "Aggregate" in x and "max(seq" in x]
+    assert len(letters) == 2 and all(any("MapInArrow" in x for x in plan[i + 1 : i + 5]) for i in letters)
+
+
+def test_parents_are_not_broadcast(spark, folder):
+    """The driver holds a bitmap of the parents' records, not a table of them."""
+    assert "BroadcastExchange" not in advanced.parent_flags(spark, folder)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parents_of_records_in_two_runs(spark, folder, tmp_path):
+    """A record that was delivered for both parents counts for the run named first; deliveries without a run or a record change nothing."""
+    t = spark.read.parquet(f"{folder}/kseq_reads.parquet")
+    more = t.where("rid < 8").withColumns({"run_id": F.lit("r1"), "seq": F.lower("seq")}).unionByName(t.where("rid >= 8 and rid < 15").withColumn("run_id", F.lit(None).cast("string")))
+    t.unionByName(more).unionByName(t.where("rid = 18").withColumns({"rid": F.lit(None).cast("long"), "run_id": F.lit("r0")})).write.parquet(f"{tmp_path}/kseq_reads.parquet")
+    a, b = ({tuple(r) for r in advanced.parent_flags(spark, d).collect()} for d in (folder, str(tmp_path)))
+    assert a == b and len(a) > 300

@@ -80,16 +80,16 @@ def decode_long(hi: Column, lo: Column, k: int) -> Column:
     return F.concat(decode(hi, k - 32), decode(lo, 32))
 
 
-#: Bits of a code filter: 16 a code, up to 2^28 (32 MB), made in chunks of 2^19 (64 KB).
+#: Bits of a code filter: 256 a code, up to 2^28 (32 MB), made in chunks of 2^19 (64 KB). One in 256 of the other codes gets through, one in 16 from 2^24 codes.
 FILTER_BITS, FILTER_CHUNK = 28, 19
 
 
 def code_filter(codes: DataFrame, most: int = FILTER_BITS) -> np.ndarray:
-    """Bitmap of hashed codes (column ``code`` of a written table) for ``kmer_positions``: never misses a code, lets some others through.
+    """Bitmap of hashed codes (column ``code`` of a written table) for ``kmer_positions`` and ``passing``: never misses a code, lets some others through.
 
     At most 2^most bits reach the driver, however many codes there are.
     """
-    bits = min(most, max(FILTER_CHUNK, math.ceil(math.log2(16 * codes.count() + 1))))
+    bits = min(most, max(FILTER_CHUNK, math.ceil(math.log2(256 * codes.count() + 1))))
 
     def place(batches):
         for b in batches:
@@ -107,6 +107,23 @@ def code_filter(codes: DataFrame, most: int = FILTER_BITS) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _let_through(code: np.ndarray, only: np.ndarray) -> np.ndarray:
+    """Which codes a ``code_filter`` lets through."""
+    h = mix(code) & np.uint64(len(only) * 8 - 1)
+    return (only[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def passing(t: DataFrame, key: str, only: np.ndarray) -> DataFrame:
+    """Rows of ``t`` that a ``code_filter`` of the values of ``key`` (long, not null) lets through: all with such a value and some others."""
+    sent = t.sparkSession.sparkContext.broadcast(only)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_let_through(b.column(key).to_numpy().view(np.uint64), sent.value)))
+
+    return t.mapInArrow(run, t.schema)
+
+
 def kmer_positions(reads: DataFrame, k: int, record: str = "rid", seq: str = "seq", only: np.ndarray | None = None) -> DataFrame:
     """rid, pos, code, rev of every k-mer: canonical code, and whether the reverse complement is the smaller.
 
@@ -125,8 +142,7 @@ def kmer_positions(reads: DataFrame, k: int, record: str = "rid", seq: str = "se
             owner = np.repeat(rec, hi - lo - k + 1)
             f, r = packed(code, k)[at], packed_reverse(code, k)[at]
             if sent is not None:
-                h = mix(np.minimum(f, r)) & np.uint64(len(sent.value) * 8 - 1)
-                ok = (sent.value[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                ok = _let_through(np.minimum(f, r), sent.value)
                 at, owner, f, r = at[ok], owner[ok], f[ok], r[ok]
             yield pa.RecordBatch.from_arrays([pa.array(rid[owner]), pa.array((at - off[owner]).astype(np.int32)), pa.array(np.minimum(f, r).view(np.int64)), pa.array((r < f).astype(np.int32))], names=["rid", "pos", "code", "rev"])
 

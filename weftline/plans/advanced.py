@@ -193,11 +193,17 @@ flags AS (SELECT kmer, coalesce(p, 0) AS p, coalesce(m, 0) AS m FROM pat FULL JO
 
 
 def parent_flags(spark, d):
-    """code, p, m: k-mer classes of the two parental dumps (the records of the two largest runs): 2 frequent, 1 seen, 0 absent."""
-    r, run = reads(spark, d), runs(spark, d)
+    """code, p, m: k-mer classes of the two parental dumps (the records of the two largest runs): 2 frequent, 1 seen, 0 absent.
+
+    Records of other runs are ruled out where they are read, before their letters are shuffled.
+    """
+    from ..scratch import Scratch
+
+    own = Scratch(spark, "parents").table(runs(spark, d).where("place <= 2").select(c("rid").cast("long").alias("rid"), "place"), "rids")
+    r = reads(spark, d, only=K.code_filter(own.select(c("rid").alias("code"))))
 
     def side(k: int, name: str):
-        t = K.kmer_counts(r.join(run.where(c("place") == k), "rid", "left_semi"), KLEN, saturate=K.PARENT_MAX).where("cnt >= 2")
+        t = K.kmer_counts(r.join(own.where(c("place") == k).hint("merge"), "rid", "left_semi"), KLEN, saturate=K.PARENT_MAX).where("cnt >= 2")
         return t.select("code", F.when(c("cnt") >= 5, 2).otherwise(1).alias(name))
 
     return side(1, "p").join(side(2, "m"), "code", "full").select("code", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("m", F.lit(0)).alias("m"))

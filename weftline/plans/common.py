@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.kmers import passing
+
 
 class Registry:
     """Queries of one module with their SQL."""
@@ -29,14 +32,20 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def spread(df):
-    """Even partitions in front of a kernel, whose cost lies in rows and not in bytes."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def spread(df, *by: str):
+    """Even partitions (of the columns ``by``) in front of a kernel, whose cost lies in rows and not in bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
 
+def reads(spark: SparkSession, d: str, only: np.ndarray | None = None) -> DataFrame:
+    """One row per record: rid, name, seq (upper case), qual, len. Deliveries of a record are merged.
 
-def reads(spark: SparkSession, d: str) -> DataFrame:
-    """One row per record: rid, name, seq (upper case), qual, len. Deliveries of a record are merged."""
+    ``only``: a ``code_filter`` of rids; records that it rules out are left out, and of the others there are rid, seq and len alone.
+    """
     t = table(spark, d, "kseq_reads").where("rid is not null and seq is not null and seq <> ''")
+    if only is not None:
+        t = passing(t.select(F.col("rid").cast("long").alias("rid"), F.upper("seq").alias("seq")), "rid", only)
+        return spread(t, "rid").groupBy("rid").agg(F.max("seq").alias("seq")).withColumn("len", F.length("seq"))
     t = t.groupBy("rid").agg(F.max("read_name").alias("name"), F.max(F.upper("seq")).alias("seq"), F.max("qual").alias("qual"))
     return t.withColumn("len", F.length("seq"))
 
